@@ -1,5 +1,5 @@
 from coffer.sources.calendar import date_dim, day_spine, with_calendar
-from coffer.sources.schemas import SCHEMAS, conform
+from coffer.sources.schemas import SCHEMAS, conform, schema
 from coffer.sources.seeds import lookup_id, seed_reference
 from coffer.sources.sheets import expand_breakdown, unpivot_sheet
 from coffer.sources.statements import parse_statement, read_statement
@@ -16,6 +16,7 @@ __all__ = [
     "parse_statement",
     "read_statement",
     "read_table",
+    "schema",
     "seed_reference",
     "unpivot_sheet",
     "with_calendar",

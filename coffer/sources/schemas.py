@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_DDL = {
+SCHEMAS = {
     "dim_date": (
         "date date, year int, month int, day int, day_of_week int, day_name string, "
         "month_name string, is_weekend boolean, quarter int, fiscal_year int, fiscal_month int, "
@@ -45,10 +45,12 @@ _DDL = {
     "statement": "Date string, Amount string, Description string, Balance string",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+def schema(table: str) -> StructType:
+    return StructType.fromDDL(SCHEMAS[table])
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Add the nullable columns of a declared table that the input lacks, as typed NULLs."""
-    missing = [f for f in SCHEMAS[table].fields if f.name not in df.columns]
+    missing = [f for f in schema(table).fields if f.name not in df.columns]
     return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
