@@ -54,6 +54,11 @@ def rule_tests(rules: Mapping[str, Column]) -> dict[tuple[str, str], Column]:
     return {("check", name): ~rule for name, rule in rules.items()}
 
 
+def same_tests(pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], Column]:
+    """Two columns have to agree; NULL agrees with NULL only."""
+    return {("same", f"{a} = {b}"): ~F.col(a).eqNullSafe(F.col(b)) for a, b in pairs}
+
+
 def check_not_null(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     return one_pass(df, table, not_null_tests(columns))
 

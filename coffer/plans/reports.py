@@ -185,7 +185,7 @@ def search_transactions(
     """
     keys = key_list(keys)
     _check_limit(limit)
-    hits = txns.where(F.col("description").ilike(F.lit(f"%{text}%")))
+    hits = txns.where(F.ilike("description", F.lit(f"%{text}%")))
     page = _newest(hits, [F.desc("transaction_date"), F.asc("id")], limit, 0, per)
     names = categories.select(
         *shared(keys, categories), F.col("id").alias("category_id"), F.col("name").alias("category")

@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
         SparkSession.builder.master(f"local[{cores}]")
         .appName("coffer")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for name, value in {**SETTINGS, **conf}.items():
