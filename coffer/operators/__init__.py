@@ -1,5 +1,7 @@
 from coffer.operators.budgets import (
     active,
+    as_of_budgets,
+    budget_segments,
     category_budgets,
     envelopes,
     list_budgets,
@@ -32,7 +34,7 @@ from coffer.operators.quality import (
     quality_report,
     table_counts,
 )
-from coffer.operators.spend import daily_totals, monthly_category_spend, monthly_type_spend
+from coffer.operators.spend import daily_totals, monthly_category_spend, with_month_spend
 from coffer.operators.tables import (
     append_transactions,
     backfill_key,

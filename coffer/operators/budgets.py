@@ -8,9 +8,9 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from coffer.functions import fixed_values as fv
-from coffer.functions.dates import as_col, month_start
 from coffer.keys import KEYS, key_list, null_safe, shared
 from coffer.operators.validation import budget_rules, validate
 
@@ -28,66 +28,85 @@ def envelopes(budgets: DataFrame) -> DataFrame:
     return budgets.where(F.col("category_id").isNull())
 
 
-def _in_force(days: DataFrame, versions: DataFrame, on: Sequence[str], day: str, out: str) -> DataFrame:
-    """Latest version in force per key and day, as struct column ``out``.
+def budget_segments(budgets: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Each budget's timeline: from ``day`` on, ``version`` is the one in force, or NULL for none.
 
-    Days and versions meet per month, so a key with a long history is not compared with all of
-    it: each version is listed under the months it covers, clipped to the months asked for.
+    Versions may overlap; the latest start wins, then the greatest id. A category budget is
+    known by its category (``type_id`` is NULL), an envelope by its type. Versions of the same
+    dates are merged first, so an array holds one budget's history of distinct date ranges.
     """
-    on = list(on)
-    span = days.groupBy(*on).agg(
-        F.min(month_start(day)).alias("_from"), F.max(month_start(day)).alias("_to")
+    keys = key_list(keys)
+    slot = [*keys, "category_id", "type_id"]
+    versions = (
+        budgets.select(
+            *keys,
+            "category_id",
+            F.when(F.col("category_id").isNull(), F.col("type_id")).alias("type_id"),
+            "start_date",
+            "end_date",
+            "id",
+            "budget_amount",
+        )
+        .groupBy(*slot, "start_date", "end_date")
+        .agg(F.max(F.struct("id", "budget_amount")).alias("_row"))
     )
-    # the first month asked for is a lower bound; the end is exclusive
-    listed = versions.join(span, on).select(
-        *on,
-        "start_date",
-        "end_date",
-        F.struct("start_date", "id", "budget_amount").alias("_version"),
-        F.greatest(month_start("start_date"), "_from").alias("_first"),
-        F.least(month_start(F.date_sub("end_date", 1)), "_to").alias("_last"),
-    ).where(F.col("_first") <= F.col("_last"))
-    listed = listed.withColumn(
-        "_month", F.explode(F.sequence("_first", "_last", F.expr("interval 1 month")))
-    ).drop("_first", "_last")
-    wanted = days.select(*on, day).distinct().withColumn("_month", month_start(day))
-    return (
-        wanted.join(listed, [*on, "_month"])
-        .where((F.col("start_date") <= F.col(day)) & (F.col(day) < F.col("end_date")))
-        .groupBy(*on, day)
-        .agg(F.max("_version").alias(out))
+    history = versions.groupBy(*slot).agg(
+        F.collect_list(F.struct("start_date", "end_date", "_row.*")).alias("_versions")
     )
+    starts = lambda v: v["start_date"]
+    ends = lambda v: v["end_date"]
+    in_force = lambda day: F.array_max(
+        F.transform(
+            F.filter("_versions", lambda v: (v["start_date"] <= day) & (v["end_date"] > day)),
+            lambda v: F.struct(v["start_date"], v["id"], v["budget_amount"]),
+        )
+    )
+    days = F.array_distinct(
+        F.concat(F.transform("_versions", starts), F.transform("_versions", ends))
+    )
+    segments = history.select(*slot, "_versions", F.explode(days).alias("day"))
+    return segments.select(*slot, "day", in_force(F.col("day")).alias("version"))
 
 
-def resolve_budget(
-    requests: DataFrame,
-    budgets: DataFrame,
-    keys: Sequence[str] = KEYS,
-    day: str = "purchase_date",
+def as_of_budgets(
+    days: DataFrame, budgets: DataFrame, keys: Sequence[str] = KEYS, day: str = "purchase_date"
 ) -> DataFrame:
-    """Budget in force for each distinct (ledger, category, type, day) of the requests.
+    """Add ``budget_id``, ``budget_amount`` and ``scope`` to rows at day grain.
 
-    A category budget wins over the envelope of the type; among several the latest start,
-    then the greatest id. Adds ``budget_id``, ``budget_amount`` and ``scope``
-    (``category``, ``envelope`` or NULL for none).
+    Rows and timelines are merged and each row takes the last segment before it, of its
+    category and of its type. One exchange on the ledger serves both lookups, and what others
+    a caller adds per ledger; ``days`` has to be distinct, so that a ledger is no longer than
+    its categories times its days.
     """
     keys = key_list(keys)
-    wanted = requests.select(*keys, "category_id", "type_id", day).distinct()
-    by_category = _in_force(
-        wanted, category_budgets(budgets).drop("type_id"), [*keys, "category_id"], day, "_category"
-    )
-    by_type = _in_force(
-        wanted, envelopes(budgets).drop("category_id"), [*keys, "type_id"], day, "_envelope"
+    segments = budget_segments(budgets, keys).select(
+        *keys,
+        "category_id",
+        "type_id",
+        F.col("day").alias(day),
+        F.struct("version").alias("_segment"),
+        F.lit(0).alias("_is_day"),
     )
-    found = wanted.join(by_category, [*keys, "category_id", day], "left").join(
-        by_type, [*keys, "type_id", day], "left"
+    merged = days.withColumn("_is_day", F.lit(1)).unionByName(segments, allowMissingColumns=True)
+
+    def latest(slot: str):
+        so_far = (
+            Window.partitionBy(*keys, slot)
+            .orderBy(day, "_is_day")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        own = F.when(F.col(slot).isNotNull(), F.col("_segment"))
+        return F.last(own, ignorenulls=True).over(so_far)["version"]
+
+    found = (
+        merged.repartition(*keys)
+        .withColumn("_category", latest("category_id"))
+        .withColumn("_envelope", latest("type_id"))
+        .where(F.col("_is_day") == 1)
     )
     version = F.coalesce("_category", "_envelope")
     return found.select(
-        *keys,
-        "category_id",
-        "type_id",
-        day,
+        *days.columns,
         version["id"].alias("budget_id"),
         version["budget_amount"].alias("budget_amount"),
         F.when(F.col("_category").isNotNull(), "category")
@@ -96,6 +115,21 @@ def resolve_budget(
     )
 
 
+def resolve_budget(
+    requests: DataFrame,
+    budgets: DataFrame,
+    keys: Sequence[str] = KEYS,
+    day: str = "purchase_date",
+) -> DataFrame:
+    """Budget in force for each distinct (ledger, category, type, day) of the requests.
+
+    A category budget wins over the envelope of the type. ``scope`` is ``category``,
+    ``envelope`` or NULL for none.
+    """
+    wanted = requests.select(*key_list(keys), "category_id", "type_id", day).distinct()
+    return as_of_budgets(wanted, budgets, keys, day)
+
+
 class BudgetChange(NamedTuple):
     budgets: DataFrame
     rejects: DataFrame

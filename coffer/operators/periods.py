@@ -75,15 +75,34 @@ def as_of_periods(
 
 
 def assign_periods(
-    txns: DataFrame, periods: DataFrame, keys: Sequence[str] = KEYS, on: str = "transaction_date"
+    txns: DataFrame,
+    periods: DataFrame,
+    keys: Sequence[str] = KEYS,
+    on: str = "transaction_date",
+    method: str = "as_of",
 ) -> DataFrame:
     """Left range join of rows with pay periods; rows outside every period get NULLs.
 
-    Only the distinct (ledger, day) pairs pass through the as-of window. The rows meet the
+    ``range`` joins on the ledger with the range as a condition. It suits period tables that
+    Spark knows to be below its broadcast threshold, since the rows then stay where they are.
+
+    ``as_of`` holds for any size. Only the distinct (ledger, day) pairs pass through the as-of window. The rows meet the
     result in an equi-join on ledger and day, which spreads a large ledger over its days and
     lets adaptive execution split a day that is still too large.
     """
     keys = key_list(keys)
+    if method == "range":
+        spans = periods.select(
+            *[F.col(k).alias(f"_{k}") for k in keys],
+            F.col("period_start").alias("pay_period_start"),
+            F.col("period_end").alias("pay_period_end"),
+        )
+        within = F.col(on).between(F.col("pay_period_start"), F.col("pay_period_end"))
+        for k in keys:
+            within = within & (F.col(k) == F.col(f"_{k}"))
+        return txns.join(spans, within, "left").drop(*[f"_{k}" for k in keys])
+    if method != "as_of":
+        raise ValueError(f"method must be 'as_of' or 'range', got {method!r}")
     days = as_of_periods(txns.select(*keys, on).distinct(), periods, keys, on)
     return txns.join(days, [*keys, on], "left")
 

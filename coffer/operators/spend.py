@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from coffer.functions.dates import month_start
-from coffer.functions.money import total
+from coffer.functions.money import MONEY, total
 from coffer.keys import KEYS, key_list, shared
 
 
@@ -30,16 +31,36 @@ def monthly_category_spend(txns: DataFrame, keys: Sequence[str] = KEYS) -> DataF
     ).agg(F.count("*").alias("transaction_count"), total("amount").alias("amount"))
 
 
-def monthly_type_spend(
-    category_spend: DataFrame, categories: DataFrame, keys: Sequence[str] = KEYS
+def with_month_spend(
+    rows: DataFrame,
+    txns: DataFrame,
+    categories: DataFrame,
+    keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Category spend rolled up to types, for envelope budgets."""
+    """Add ``category_spend`` and ``type_spend`` of the row's ledger and ``month``.
+
+    Rows have keys, month, type_id and category_id (NULL where only the type matters). They
+    are merged with the monthly sums and take theirs by window, so the transactions are read
+    once for both grains and nothing is joined. A window holds one ledger's month of one type.
+    """
     keys = key_list(keys)
     types = categories.select(
         *shared(keys, categories), F.col("id").alias("category_id"), "type_id"
     )
+    spend = (
+        monthly_category_spend(txns, keys)
+        .join(types, [*shared(keys, categories), "category_id"])
+        .select(*keys, "month", "category_id", "type_id", "amount", F.lit(0).alias("_is_row"))
+        .withColumnRenamed("amount", "_amount")
+    )
+    merged = rows.withColumn("_is_row", F.lit(1)).unionByName(spend, allowMissingColumns=True)
+    within = lambda *columns: F.coalesce(
+        F.sum("_amount").over(Window.partitionBy(*keys, *columns)), F.lit(0)
+    ).cast(MONEY)
     return (
-        category_spend.join(types, [*shared(keys, categories), "category_id"])
-        .groupBy(*keys, "month", "type_id")
-        .agg(total("amount").alias("amount"))
+        merged.repartition(*keys, "month")
+        .withColumn("category_spend", within("month", "category_id"))
+        .withColumn("type_spend", within("month", "type_id"))
+        .where(F.col("_is_row") == 1)
+        .drop("_is_row", "_amount")
     )

@@ -12,9 +12,9 @@ from coffer.functions import fixed_values as fv
 from coffer.functions.dates import month_start, next_month
 from coffer.functions.money import money, ratio_pct
 from coffer.keys import KEYS, key_list, shared
-from coffer.operators.budgets import resolve_budget
+from coffer.operators.budgets import as_of_budgets
 from coffer.operators.dims import stg_categories
-from coffer.operators.spend import monthly_category_spend, monthly_type_spend
+from coffer.operators.spend import with_month_spend
 from coffer.operators.validation import purchase_rules, validate
 
 
@@ -125,29 +125,22 @@ def assess_purchases(
         "warning_threshold",
     )
 
-    spend = monthly_category_spend(txns, keys)
-    by_category = spend.select(
-        *keys, "month", "category_id", F.col("amount").alias("_category_sum")
-    )
-    by_type = monthly_type_spend(spend, categories, keys).withColumnRenamed("amount", "_type_sum")
-    in_category = F.col("scope") == "category"
-    cases = (
-        resolve_budget(asked, budgets, keys)
+    wanted = (
+        asked.select(*keys, "category_id", "type_id", "purchase_date")
+        .distinct()
         .withColumn("month", month_start("purchase_date"))
-        .join(by_category, [*keys, "month", "category_id"], "left")
-        .join(by_type, [*keys, "month", "type_id"], "left")
-        .select(
-            *keys,
-            "category_id",
-            "type_id",
-            "purchase_date",
-            "scope",
-            money("budget_amount").alias("budget_amount"),
-            F.coalesce(
-                F.when(in_category, F.col("_category_sum")).otherwise(F.col("_type_sum")),
-                F.lit(0).cast("decimal(18,2)"),
-            ).alias("spent_so_far"),
-        )
+    )
+    spent = with_month_spend(as_of_budgets(wanted, budgets, keys), txns, categories, keys)
+    cases = spent.select(
+        *keys,
+        "category_id",
+        "type_id",
+        "purchase_date",
+        "scope",
+        money("budget_amount").alias("budget_amount"),
+        F.when(F.col("scope") == "category", F.col("category_spend"))
+        .otherwise(F.col("type_spend"))
+        .alias("spent_so_far"),
     )
     scope = (
         F.when(F.col("scope") == "category", "category")

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from coffer.functions import fixed_values as fv
-from coffer.functions.dates import in_month, month_start, reference_day
+from coffer.functions.dates import in_month, month_bounds, month_start, reference_day
 from coffer.functions.money import band, money, pct, total, total_if
 from coffer.keys import KEYS, key_list, shared
 from coffer.operators.budgets import active
 from coffer.operators.dims import enrich_transactions, stg_categories
-from coffer.operators.spend import monthly_category_spend, monthly_type_spend
+from coffer.operators.spend import monthly_category_spend, with_month_spend
 
 
 def _monthly(txns: DataFrame, month: str | date | None, keys: Sequence[str]) -> DataFrame:
@@ -102,18 +102,16 @@ def budget_status(
     if as_of is None:
         raise ValueError("as_of is required: the day the report is made for")
     keys = key_list(keys)
-    spend = _monthly(txns, month, keys)
     if month is None:
-        versions = budgets.join(spend.select(*keys, "month").distinct(), keys)
+        months = txns.select(*keys, month_start("transaction_date").alias("month")).distinct()
+        versions = budgets.join(months, keys)
     else:
-        if isinstance(month, str):
-            month = date.fromisoformat(f"{month}-01")
-        versions = budgets.withColumn("month", F.lit(month.replace(day=1)))
+        first, _ = month_bounds(month)
+        txns = in_month(txns, "transaction_date", month)
+        versions = budgets.withColumn("month", F.lit(first))
     day = reference_day("month", F.lit(as_of))
     versions = versions.where((F.col("start_date") <= day) & (F.col("end_date") > day))
 
-    by_category = spend.select(*keys, "month", "category_id", F.col("amount").alias("_category_sum"))
-    by_type = monthly_type_spend(spend, categories, keys).withColumnRenamed("amount", "_type_sum")
     type_names = types.select(
         *shared(keys, types), F.col("id").alias("type_id"), F.col("name").alias("type")
     )
@@ -122,16 +120,11 @@ def budget_status(
     )
     single = F.col("category_id").isNotNull()
     joined = (
-        versions.join(type_names, [*shared(keys, types), "type_id"])
+        with_month_spend(versions, txns, categories, keys)
+        .join(type_names, [*shared(keys, types), "type_id"])
         .join(names, [*shared(keys, categories), "category_id"], "left")
-        .join(by_category, [*keys, "month", "category_id"], "left")
-        .join(by_type, [*keys, "month", "type_id"], "left")
         .withColumn(
-            "actual",
-            F.coalesce(
-                F.when(single, F.col("_category_sum")).otherwise(F.col("_type_sum")),
-                F.lit(0).cast("decimal(18,2)"),
-            ),
+            "actual", F.when(single, F.col("category_spend")).otherwise(F.col("type_spend"))
         )
     )
     return joined.select(

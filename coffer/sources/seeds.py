@@ -6,10 +6,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from coffer.functions import fixed_values as fv
 
 
+def values(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A small constant table as literals of the plan.
+
+    Unlike rows shipped from Python its size is known to the optimizer, which then broadcasts
+    it instead of shuffling the table it is joined with.
+    """
+    fields = StructType.fromDDL(ddl).fields
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def lookup_id(
     df: DataFrame, dim: DataFrame, name: str, out: str, dim_name: str = "name", dim_id: str = "id"
 ) -> DataFrame:
@@ -25,9 +40,9 @@ def seed_reference(
     rules: Sequence[tuple] = fv.MERCHANT_RULES,
 ) -> dict[str, DataFrame]:
     """Types, categories and merchant rules as tables. Ids are the names, lower-cased."""
-    type_rows = spark.createDataFrame(list(types), "name string, sort_order int")
-    category_rows = spark.createDataFrame(list(categories), "name string, type string")
-    rule_rows = spark.createDataFrame(list(rules), "keyword string, category string, priority int")
+    type_rows = values(spark, types, "name string, sort_order int")
+    category_rows = values(spark, categories, "name string, type string")
+    rule_rows = values(spark, rules, "keyword string, category string, priority int")
 
     type_table = type_rows.select(F.lower("name").alias("id"), "name", "sort_order")
     category_table = lookup_id(category_rows, type_table, "type", "type_id").select(

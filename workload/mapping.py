@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coffer.operators import detect_pay_dates, pay_periods
-from coffer.sources import date_dim
+from coffer.sources import date_dim, values
 
 SPINE = (date(1995, 1, 1), date(2002, 12, 31))
 SALARY = "1-URGENT"
@@ -61,19 +61,16 @@ def cents(column) -> Column:
 
 
 def types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(name, name, order) for name, order in TYPE_ROWS], "id string, name string, sort_order int"
-    )
+    rows = [(name, name, order) for name, order in TYPE_ROWS]
+    return values(spark, rows, "id string, name string, sort_order int")
 
 
 def categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CATEGORY_ROWS), "id string, name string, type_id string")
+    return values(spark, CATEGORY_ROWS, "id string, name string, type_id string")
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(RULE_ROWS), "keyword string, category_id string, priority int"
-    )
+    return values(spark, RULE_ROWS, "keyword string, category_id string, priority int")
 
 
 def calendar(spark: SparkSession) -> DataFrame:
@@ -371,6 +368,8 @@ SHEET_MAPPING = (
 
 
 def sheet_mapping(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(SHEET_MAPPING), "column string, category string, day_offset int, description string"
+    return values(
+        spark,
+        SHEET_MAPPING,
+        "column string, category string, day_offset int, description string",
     )

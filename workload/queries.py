@@ -17,7 +17,7 @@ from coffer.operators.quality import one_pass, same_tests
 from coffer.operators.validation import transaction_rules
 from coffer.plans.marts import write_marts
 from coffer.session import work_dir
-from coffer.sources import day_spine, expand_breakdown, parse_statement, unpivot_sheet, with_calendar
+from coffer.sources import day_spine, expand_breakdown, parse_statement, unpivot_sheet, values, with_calendar
 from coffer.streaming import import_stream, read_imported
 from workload import mapping as m
 
@@ -828,7 +828,8 @@ def _unified(spark, sf):
         F.lit(date(2001, 4, 1)).alias("year_month"),
         (balance * 2).cast("decimal(12,2)").alias("budget_amount"),
     )
-    groups = spark.createDataFrame(
+    groups = values(
+        spark,
         [("g1", "fixed"), ("g2", "variable"), ("g3", "income"), ("g4", "saving")],
         "id string, name string",
     )
