@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import date
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -105,14 +106,19 @@ def purchase_rules(df: DataFrame) -> dict[str, Column]:
 
 def failed_rules(rules: Rules) -> Column:
     """Names of the rules a row breaks. As in a CHECK constraint, unknown is not broken."""
-    named = [F.when(~rule, F.lit(name)) for name, rule in rules.items()]
-    return F.filter(F.array(*named), lambda r: r.isNotNull())
+    return F.array_compact(
+        F.array(*[F.when(~rule, F.lit(name)) for name, rule in rules.items()])
+    )
+
+
+def keeps_rules(rules: Rules) -> Column:
+    """Whether a row breaks no rule; cheaper than collecting the names of those it breaks."""
+    return reduce(Column.__and__, [F.coalesce(rule, F.lit(True)) for rule in rules.values()])
 
 
 def validate(df: DataFrame, rules: Rules) -> Validated:
     """Split rows into valid ones and rejects with a ``reasons`` array."""
-    checked = df.withColumn("reasons", failed_rules(rules))
+    kept = keeps_rules(rules)
     return Validated(
-        checked.where(F.size("reasons") == 0).drop("reasons"),
-        checked.where(F.size("reasons") > 0),
+        df.where(kept), df.where(~kept).withColumn("reasons", failed_rules(rules))
     )

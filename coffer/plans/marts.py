@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from coffer.functions import fixed_values as fv
-from coffer.functions.dates import month_end, month_start
+from coffer.functions.dates import month_end, month_label, month_start
 from coffer.functions.money import band, mean, money, pct, total, total_if
 from coffer.keys import KEYS, key_list, shared
 from coffer.operators.budgets import active, category_budgets
@@ -33,21 +33,25 @@ def _running_total(keys: Sequence[str]):
 
 
 def _period_columns(mode: str):
-    first, last = month_start("transaction_date"), month_end("transaction_date")
+    """What identifies a row's period, and the period columns derived from that.
+
+    Rows are grouped by dates only; labels are formatted once per group.
+    """
+    month, label = F.col("_month"), month_label("_month")
     if mode == "calendar":
-        return {
-            "period_label": F.col("year_month"),
-            "period_start_date": first,
-            "period_end_date": last,
+        return {"_month": month_start("transaction_date")}, {
+            "period_label": label,
+            "period_start_date": month,
+            "period_end_date": month_end("_month"),
             "period_basis": F.lit("calendar"),
         }
-    return {
-        "period_label": F.coalesce(F.col("pay_period_start").cast("string"), "year_month"),
-        "period_start_date": F.coalesce("pay_period_start", first),
-        "period_end_date": F.coalesce("pay_period_end", last),
-        "period_basis": F.when(F.col("pay_period_start").isNotNull(), "payday").otherwise(
-            "calendar_fallback"
-        ),
+    start, end = F.col("pay_period_start"), F.col("pay_period_end")
+    fallback = F.when(start.isNull(), month_start("transaction_date"))
+    return {"pay_period_start": start, "pay_period_end": end, "_month": fallback}, {
+        "period_label": F.coalesce(start.cast("string"), label),
+        "period_start_date": F.coalesce(start, month),
+        "period_end_date": F.coalesce(end, month_end("_month")),
+        "period_basis": F.when(start.isNotNull(), "payday").otherwise("calendar_fallback"),
     }
 
 
@@ -69,9 +73,18 @@ def fct_pay_period_summary(
     counted = (
         F.sum("transaction_count") if "transaction_count" in staged.columns else F.count("*")
     )
-    sums = staged.groupBy(
-        *keys, *[c.alias(name) for name, c in _period_columns(mode).items()], "category_id"
-    ).agg(counted.alias("transaction_count"), total("amount").alias("total_amount"))
+    by, derived = _period_columns(mode)
+    sums = (
+        staged.groupBy(*keys, *[c.alias(name) for name, c in by.items()], "category_id")
+        .agg(counted.alias("transaction_count"), total("amount").alias("total_amount"))
+        .select(
+            *keys,
+            *[c.alias(name) for name, c in derived.items()],
+            "category_id",
+            "transaction_count",
+            "total_amount",
+        )
+    )
     named = sums.join(
         stg_c.select(
             *shared(keys, stg_c), "category_id", "category_name", "category_type", "type_name"

@@ -88,5 +88,4 @@ def stage_daily(
     days = daily_totals(txns, keys).join(
         dim_date.select(F.col("date").alias("transaction_date")), "transaction_date", "left_semi"
     )
-    days = _without_period(days) if periods is None else as_of_periods(days, periods, keys)
-    return days.withColumn("year_month", month_label("transaction_date"))
+    return _without_period(days) if periods is None else as_of_periods(days, periods, keys)
