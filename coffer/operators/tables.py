@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coffer.keys import null_safe
+from coffer.keys import null_safe, spread_join
 from coffer.operators.validation import transaction_rules, validate
 
 
@@ -51,7 +51,7 @@ def insert_missing(
 def upsert(target: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
     """Replace the rows whose key is given and add the others."""
     fresh = one_per_key(new, on)
-    kept = target.join(fresh.select(*on), list(on), "left_anti")
+    kept = spread_join(target, fresh.select(*on), on, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -64,7 +64,7 @@ def patch(target: DataFrame, changes: DataFrame, on: Sequence[str]) -> Changed:
     change = one_per_key(changes, on).select(
         *on, *[F.col(c).alias(f"_new_{c}") for c in fields]
     )
-    updated = target.join(change, list(on), "left").select(
+    updated = spread_join(target, change, on, "left").select(
         *[
             F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c)
             for c in target.columns
@@ -78,7 +78,7 @@ def delete_keys(target: DataFrame, keys_df: DataFrame, on: Sequence[str]) -> Cha
     """Remove the rows whose key is given; keys that match nothing come back as rejects."""
     wanted = keys_df.select(*on).distinct()
     return Changed(
-        target.join(wanted, list(on), "left_anti"),
+        spread_join(target, wanted, on, "left_anti"),
         wanted.join(target.select(*on), list(on), "left_anti"),
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from coffer.functions import fixed_values as fv
 from coffer.functions.dates import month_start, next_month
 from coffer.functions.money import money, ratio_pct
-from coffer.keys import KEYS, key_list, shared
+from coffer.keys import KEYS, key_list, shared, spread_join
 from coffer.operators.budgets import as_of_budgets
 from coffer.operators.dims import stg_categories
 from coffer.operators.spend import with_month_spend
@@ -104,8 +104,8 @@ def assess_purchases(
     by_name = dims.groupBy(*own, F.lower("category_name").alias("_name")).agg(
         F.min(F.struct("category_name", "category_id", "type_id", "type_name")).alias("_found")
     )
-    looked_up = valid.withColumn("_name", F.lower("category_name")).join(
-        by_name, [*own, "_name"], "left"
+    looked_up = spread_join(
+        valid.withColumn("_name", F.lower("category_name")), by_name, [*own, "_name"], "left"
     )
     unknown = (
         looked_up.where(F.col("_found").isNull())

@@ -288,20 +288,22 @@ def write_marts(
     path: str,
     mode: str = "payday",
     keys: Sequence[str] = KEYS,
+    partition_by: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
     """Write the marts below ``path`` and return them as read back.
 
     The period summary is written first and the other marts are built from the written table:
     the ledger is scanned once, and an executor lost later costs no more than its own tasks.
-    Staging stays a view.
+    Staging stays a view. ``partition_by`` names columns all marts have, such as the keys or
+    ``period_basis``.
     """
     keys = key_list(keys)
     stg_c, _, pps = _base(inputs, mode, keys)
     target = lambda name: f"{path.rstrip('/')}/{name}"
-    write_table(pps, target("fct_pay_period_summary"))
+    write_table(pps, target("fct_pay_period_summary"), partition_by)
     pps = spark.read.schema(pps.schema).parquet(target("fct_pay_period_summary"))
     written = {"fct_pay_period_summary": pps}
     for name, df in _dependent(pps, stg_c, inputs, keys).items():
-        write_table(df, target(name))
+        write_table(df, target(name), partition_by)
         written[name] = spark.read.schema(df.schema).parquet(target(name))
     return written

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from coffer.functions import fixed_values as fv
 from coffer.functions.dates import in_month, month_bounds, month_start, reference_day
 from coffer.functions.money import band, money, pct, total, total_if
-from coffer.keys import KEYS, key_list, shared
+from coffer.keys import KEYS, key_list, shared, spread_join
 from coffer.operators.budgets import active
 from coffer.operators.dims import enrich_transactions, stg_categories
 from coffer.operators.spend import monthly_category_spend, with_month_spend
@@ -225,7 +225,11 @@ def get_transactions(
 ) -> DataFrame:
     """The transactions of the given ids, with names."""
     return enrich_transactions(
-        txns.join(ids.select(*on).distinct(), list(on), "left_semi"), categories, types, "left", keys
+        spread_join(txns, ids.select(*on).distinct(), on, "left_semi"),
+        categories,
+        types,
+        "left",
+        keys,
     )
 
 

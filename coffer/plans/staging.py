@@ -25,10 +25,12 @@ def stg_transactions(
     dim_date: DataFrame,
     periods: DataFrame | None,
     keys: Sequence[str] = KEYS,
+    method: str = "as_of",
 ) -> DataFrame:
     """Cleaned transactions, one row per transaction whose date is in the date dimension.
 
     Without ``periods`` the period columns are NULL and the plan has no shuffle of its own.
+    ``method`` is that of :func:`assign_periods`.
     """
     keys = key_list(keys)
     calendar = dim_date.select(
@@ -43,7 +45,10 @@ def stg_transactions(
         "quarter",
     )
     rows = conform(txns, "transactions").join(calendar, "transaction_date")
-    rows = _without_period(rows) if periods is None else assign_periods(rows, periods, keys)
+    if periods is None:
+        rows = _without_period(rows)
+    else:
+        rows = assign_periods(rows, periods, keys, method=method)
     return rows.select(
         *keys,
         "id",

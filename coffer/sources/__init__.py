@@ -3,7 +3,7 @@ from coffer.sources.schemas import SCHEMAS, conform, schema
 from coffer.sources.seeds import lookup_id, seed_reference, values
 from coffer.sources.sheets import expand_breakdown, unpivot_sheet
 from coffer.sources.statements import parse_statement, read_statement
-from coffer.sources.tables import load_ledger, read_table, write_table
+from coffer.sources.tables import load_ledger, read_table, write_ledger, write_table
 
 __all__ = [
     "SCHEMAS",
@@ -21,5 +21,6 @@ __all__ = [
     "unpivot_sheet",
     "values",
     "with_calendar",
+    "write_ledger",
     "write_table",
 ]

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coffer.keys import spread_join
+
 
 class SheetRows(NamedTuple):
     ok: DataFrame
@@ -77,7 +79,7 @@ def expand_breakdown(
     """
     stated = totals.where(F.col("stated_total").isNotNull() & (F.col("stated_total") != 0))
     found = _with_category(
-        parts.join(stated.select(*keys).distinct(), list(keys), "left_semi"), categories
+        spread_join(parts, stated.select(*keys).distinct(), keys, "left_semi"), categories
     )
     ok = found.where(F.col("category_id").isNotNull()).select(
         *keys,

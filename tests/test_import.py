@@ -164,17 +164,19 @@ def test_stream_imports_new_files_once(spark, tmp_path):
     after = run("checkpoint")
     batch = rows(run_import(spark, first + second).inserted, "transaction_date", "amount", "category_id", "source")
     assert after == batch and len(after) == 3
+    folders = [f for f in os.listdir(f"{base}/ledger") if f.startswith("import_batch_id=")]
+    assert len({f.split("=")[1].rsplit("_", 1)[0] for f in folders}) == 1 and "None" not in "".join(folders)
     assert run("fresh-checkpoint") == after
 
 
-MAPPING = [("工资", "Salary", "2026-03-16", "Monthly salary"), ("Gym", "Health", "2026-03-16", "Gym membership"),
+MAPPING = [("Pay", "Salary", "2026-03-16", "Monthly salary"), ("Gym", "Health", "2026-03-16", "Gym membership"),
            ("Uber", "Transport", "2026-03-27", "Uber ride"), ("Yacht", "Boats", "2026-03-27", "Yacht"), ("Fuel", "Transport", "2026-03-28", "Fuel")]
 
 
 def test_sheet_cells_become_transactions(spark, dims):
     sheet = spark.createDataFrame(
         [("a", 6760.0, 30.5, 0.0, 12.0, None, 1.0)],
-        "account_id string, `工资` double, Gym double, Uber double, Yacht double, Fuel double, Unmapped double",
+        "account_id string, Pay double, Gym double, Uber double, Yacht double, Fuel double, Unmapped double",
     )
     mapping = spark.createDataFrame(
         [(c, k, D(d), t) for c, k, d, t in MAPPING], "column string, category string, date date, description string"
@@ -189,16 +191,16 @@ def test_sheet_cells_become_transactions(spark, dims):
 
 def test_breakdowns_are_reconciled_and_expanded(spark, dims):
     parts = spark.createDataFrame(
-        [("CBA", "Groceries", M(300)), ("CBA", "Boats", M(265.8)), ("ING", "Shopping", M(40)), ("OFF", "Shopping", M(5)), ("J", "Rent", M(1))],
+        [("EVERYDAY", "Groceries", M(300)), ("EVERYDAY", "Boats", M(265.8)), ("JOINT", "Shopping", M(40)), ("OFF", "Shopping", M(5)), ("X", "Rent", M(1))],
         "label string, category string, amount decimal(12,2)",
     ).withColumn("transaction_date", F.lit(D("2026-03-20"))).withColumn("description", F.lit("x"))
     totals = spark.createDataFrame(
-        [("CBA", M(565.8)), ("ING", M(40.02)), ("OFF", M(0)), ("NIL", None), ("MISS", M(3)), ("J", M(1.01))],
+        [("EVERYDAY", M(565.8)), ("JOINT", M(40.02)), ("OFF", M(0)), ("NIL", None), ("MISS", M(3)), ("X", M(1.01))],
         "label string, stated_total decimal(12,2)",
     )
     assert rows(plans.reconcile(parts, totals, ["label"]), "label", "difference", "matches") == [
-        ("CBA", M(0), True), ("ING", M(0.02), False), ("J", M(0.01), True), ("MISS", M(3), False),
+        ("EVERYDAY", M(0), True), ("JOINT", M(0.02), False), ("MISS", M(3), False), ("X", M(0.01), True),
     ]
     ok, warnings = expand_breakdown(parts, totals, dims["categories"], ["label"])
-    assert rows(ok, "label", "category_id") == [("CBA", "groceries"), ("ING", "shopping"), ("J", "rent")]
-    assert rows(warnings, "label", "category") == [("CBA", "Boats")]
+    assert rows(ok, "label", "category_id") == [("EVERYDAY", "groceries"), ("JOINT", "shopping"), ("X", "rent")]
+    assert rows(warnings, "label", "category") == [("EVERYDAY", "Boats")]
