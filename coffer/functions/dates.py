@@ -64,9 +64,14 @@ def reference_day(month, as_of) -> Column:
     return F.greatest(first, F.least(as_col(as_of), F.last_day(first)))
 
 
-def local_date(ts, tz: str = LOCAL_TIMEZONE) -> Column:
-    """Calendar day of a UTC timestamp in a named zone."""
-    return F.to_date(F.from_utc_timestamp(as_col(ts), tz))
+def local_date(ts, tz: str = LOCAL_TIMEZONE, source_tz: str | None = "UTC") -> Column:
+    """Calendar day of a timestamp in a named zone.
+
+    A timestamp without zone is taken to be in ``source_tz``, whatever the session's zone. For
+    instants (Spark's plain timestamp type) pass ``source_tz=None``.
+    """
+    source = None if source_tz is None else F.lit(source_tz)
+    return F.to_date(F.convert_timezone(source, F.lit(tz), as_col(ts)))
 
 
 def calendar_columns(

@@ -45,8 +45,14 @@ def test_reference_day_is_clamped_into_the_month(spark):
 
 
 def test_local_date_crosses_midnight(spark):
-    ts = F.lit("2026-01-31 13:30:00").cast("timestamp")
-    assert one(spark, d=dates.local_date(ts))["d"] == D("2026-02-01")
+    text = F.lit("2026-01-31 13:30:00")
+    for zone in ("UTC", "America/Los_Angeles"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        naive = dates.local_date(text.cast("timestamp_ntz"))
+        instant = dates.local_date(F.to_timestamp(F.lit("2026-01-31T13:30:00Z")), source_tz=None)
+        r = one(spark, naive=naive, instant=instant)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert tuple(r) == (D("2026-02-01"), D("2026-02-01"))
 
 
 def test_percentages_round_half_up(spark):

@@ -540,7 +540,7 @@ def salary_dates_not_near_confirmed(spark, sf):
 def local_days(spark, sf):
     """Sydney calendar day of every event."""
     return m.table(spark, sf, "events").select(
-        "event_id", local_date(F.col("ts").cast("timestamp")).alias("local_day")
+        "event_id", local_date("ts").alias("local_day")
     )
 
 
