@@ -566,6 +566,15 @@ ORACLE: dict[str, str] = {
         f"""SELECT id, account_id, name, {money('current_amount')} AS current_amount, {money('target_amount')} AS target_amount,
         {pct0('current_amount', 'target_amount')} AS progress_pct FROM goals WHERE status = 'active'""",
     ),
+    "list_goals": sql("goals", "SELECT * FROM goals WHERE status = 'paused'"),
+    "count_checks": """SELECT 'row_count' AS "check", 'orders' AS "table", '= 1000' AS "column", abs(COUNT(*) - 1000) AS violations FROM orders
+        UNION ALL SELECT 'distinct_count', 'orders', 'o_orderpriority', abs(COUNT(DISTINCT o_orderpriority) - 5) FROM orders
+        UNION ALL SELECT 'distinct_count', 'orders', 'o_custkey', COUNT(DISTINCT o_custkey) FROM orders
+        UNION ALL SELECT 'row_parity', 'orders and customers', '*', abs((SELECT COUNT(*) FROM orders) - (SELECT COUNT(*) FROM customer))""",
+    "looked_up_parts": sql(
+        "lines",
+        """SELECT id, (SELECT min(p_partkey) FROM part WHERE p_name = description AND p_name NOT LIKE 'red%') AS part_id FROM lines""",
+    ),
     "plan_summary": sql(
         "cbudgets",
         f"""SELECT account_id, fixed_total, envelope_total, {money('fixed_total + envelope_total')} AS grand_total,

@@ -17,7 +17,15 @@ from coffer.operators.quality import one_pass, same_tests
 from coffer.operators.validation import transaction_rules
 from coffer.plans.marts import write_marts
 from coffer.session import work_dir
-from coffer.sources import day_spine, expand_breakdown, parse_statement, unpivot_sheet, values, with_calendar
+from coffer.sources import (
+    day_spine,
+    expand_breakdown,
+    lookup_id,
+    parse_statement,
+    unpivot_sheet,
+    values,
+    with_calendar,
+)
 from coffer.streaming import import_stream, read_imported
 from workload import mapping as m
 
@@ -414,6 +422,11 @@ def goal_progress(spark, sf):
     return plans.goal_progress(m.goals(spark, sf))
 
 
+@query
+def list_goals(spark, sf):
+    return plans.list_goals(m.goals(spark, sf), "paused")
+
+
 @query
 def plan_summary(spark, sf):
     income = m.table(spark, sf, "customer").select(
@@ -914,6 +927,32 @@ def table_counts(spark, sf):
     )
 
 
+@query
+def count_checks(spark, sf):
+    """Row counts, distinct counts and equality of counts."""
+    orders, customers = m.table(spark, sf, "orders"), m.table(spark, sf, "customer")
+    priorities = len(m.CATEGORY_ROWS)
+    return (
+        op.check_count(orders, "orders", 1000)
+        .unionByName(op.check_distinct_count(orders, "orders", "o_orderpriority", priorities))
+        .unionByName(op.check_distinct_count(orders, "orders", "o_custkey", 0))
+        .unionByName(op.check_row_parity("orders and customers", orders, customers))
+    )
+
+
+@query
+def looked_up_parts(spark, sf):
+    """Lines with the id of the first part of their part's name, or NULL for red ones."""
+    names = (
+        m.table(spark, sf, "part")
+        .where(~F.col("p_name").startswith("red"))
+        .groupBy(F.col("p_name").alias("name"))
+        .agg(F.min("p_partkey").alias("id"))
+    )
+    lines = m.line_ledger(spark, sf).select("id", F.col("description").alias("part"))
+    return lookup_id(lines, names, "part", "part_id")
+
+
 @query
 def unexpected_part_types(spark, sf):
     """Part types compared with the market segments, as a check of a value set."""
