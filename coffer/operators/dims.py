@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coffer.functions.money import category_type
-from coffer.keys import KEYS, key_list, shared
+from coffer.keys import KEYS, key_list, shared, spread_join
 
 
 def stg_categories(
@@ -49,4 +49,4 @@ def enrich_transactions(
     dims = stg_categories(categories, types, keys).select(
         *shared(keys, categories), "category_id", "category_name", "type_id", "type_name"
     )
-    return txns.join(dims, [*shared(keys, categories), "category_id"], how)
+    return spread_join(txns, dims, [*shared(keys, categories), "category_id"], how)

@@ -96,7 +96,7 @@ def backfill_key(
         F.col(lookup_id).alias("_found"),
     )
     old = [F.col(out)] if out in df.columns else []
-    filled = df.join(ids, list(on), "left").select(
+    filled = spread_join(df, ids, list(on), "left").select(
         *[c for c in df.columns if c != out], F.coalesce("_found", *old).alias(out)
     )
     return Changed(filled, filled.where(F.col(out).isNull()))
@@ -106,8 +106,7 @@ def tag_by_name(df: DataFrame, tags: DataFrame, name: str, tag: str, default: st
     """Label rows by a name list (``name``, ``tag``); names not listed get the default."""
     labels = tags.select(F.col("name").alias(name), F.col("tag").alias("_tag"))
     return (
-        df.drop(tag)
-        .join(labels, name, "left")
+        spread_join(df.drop(tag), labels, [name], "left")
         .withColumn(tag, F.coalesce("_tag", F.lit(default)))
         .drop("_tag")
     )

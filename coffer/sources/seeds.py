@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from coffer.functions import fixed_values as fv
+from coffer.keys import spread_join
 
 
 def values(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
@@ -30,7 +31,7 @@ def lookup_id(
 ) -> DataFrame:
     """Replace a name column by the id of the row of that name; rows without one get NULL."""
     ids = dim.select(F.col(dim_name).alias(name), F.col(dim_id).alias(out))
-    return df.join(ids, name, "left").drop(name)
+    return spread_join(df, ids, [name], "left").drop(name)
 
 
 def seed_reference(
