@@ -20,7 +20,7 @@ from coffer.llm import (
     spherical_caps,
     url_filters,
 )
-from coffer.llm.common import bucket_of
+from coffer.llm.common import bucket_of, cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,7 +167,7 @@ def op6_kneser_ney(spark, sf):
 def op7_simhash(spark, sf):
     """Fingerprint of every document and the group it reaches over two bits."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    prints = simhash.cut(simhash.fingerprints(docs), "fingerprints")
+    prints = cut(simhash.fingerprints(docs), "fingerprints")
     grouped = simhash.groups(prints)
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 

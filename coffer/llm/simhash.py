@@ -8,6 +8,7 @@ of 64 bits for r = 1), so no group is larger than that however many copies there
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -96,19 +97,91 @@ def groups(prints: DataFrame, doc_id: str = "doc_id", name: str = "fingerprint",
     return prints.drop(component).join(by_print, F.col(name) == F.col("__print"), "left").drop("__print")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One document of each group of near duplicates: the one of least id (nulls last).
+#: near duplicates by similarity: tables of 32 bits for candidates, 256 bits to verify them
+TABLES, TABLE_BITS, CHECK_BITS = 8, 32, 256
 
-    Of rows alike in every column one stays. ``docs`` is read twice, for the fingerprints and for
-    the documents kept, which are the only texts that are shuffled.
+
+def wide_bits(ws: list[bytes], shingle: int) -> np.ndarray:
+    """SimHash of 256 bits of the words' shingles, repeats included."""
+    n = max(1, len(ws) - shingle + 1) if ws else 0
+    parts = [b" ".join(ws[i : i + shingle]) for i in range(n)]
+    ones = np.zeros(CHECK_BITS, np.int64)
+    for at in range(0, n, 1 << 16):  # bounded memory for very long texts
+        digests = b"".join([xxhash.xxh3_128_digest(p, seed) for p in parts[at : at + (1 << 16)] for seed in (0, 1)])
+        rows = np.frombuffer(digests, np.uint8).reshape(-1, CHECK_BITS // 8)
+        ones += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n)
+
+
+def _wide(docs: DataFrame, text: str, find_words: int, shingle: int) -> DataFrame:
+    """``docs`` without the text, with ``tables`` (8 numbers of 32 bits) and ``check`` (4 of 64)."""
+    kept = [c for c in docs.columns if c != text]
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(len(kept)))
+            data, n = data.tobytes(), batch.num_rows
+            tables, check = np.zeros((n, TABLES), np.int64), np.zeros((n, 4), np.int64)
+            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                ws = data[a:b].lower().split()
+                tables[i] = wide_bits(ws, find_words).view(np.uint32)
+                check[i] = wide_bits(ws, shingle).view(np.int64)
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (tables, check)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], [*kept, "tables", "check"])
+
+    empty = F.array().cast("array<bigint>")
+    schema = docs.select(*kept, empty.alias("tables"), empty.alias("check")).schema
+    return docs.select(*kept, F.col(text)).mapInArrow(run, schema)
+
+
+def similar_groups(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, find_words: int = 2, slack: float = 0.05) -> DataFrame:
+    """``docs`` without the text and with ``group``: equal for documents connected by a similarity
+    of their ``shingle``-word shingle sets of at least ``similarity``.
+
+    Candidates meet in one of eight 32-bit fingerprints of ``find_words``-word shingles that
+    differ in at most two bits (ball hashing, half radius one); shorter shingles are used there
+    because a changed word touches fewer of them. 256 bits of the ``shingle``-word fingerprint
+    verify them: the similarity estimated from the bits must reach ``similarity - slack``. Texts
+    with equal fingerprints are one node. In each table equal values are linked to a member that
+    the table's own hash picks, values within two bits through the least variant, so groups of
+    any size emit links in proportion to their members.
+    """
+    prints = cut(_wide(docs, text, find_words, shingle).withColumn("group", F.xxhash64("tables", "check")), "fingerprints")
+    nodes = cut(prints.select(F.col("group").alias("node"), "tables", "check").dropDuplicates(["node"]), "nodes")
+    rows = nodes.select("node", F.posexplode("tables").alias("t", "value"))
+    pick = F.struct(F.xxhash64("node", "t").alias("order"), F.col("node"))
+    values = cut(rows.groupBy("t", "value").agg(F.min(pick)["node"].alias("centre"), F.count("*").alias("n")), "values")
+    same = rows.join(values.where("n > 1"), ["t", "value"]).select(F.col("centre").alias("left"), F.col("node").alias("right"))
+    masks = F.array(*[F.lit(m).cast("bigint") for m in [0, *(1 << b for b in range(TABLE_BITS))]])
+    near = values.select(
+        "centre", F.explode(F.transform(masks, lambda m: F.shiftleft("t", TABLE_BITS).cast("bigint").bitwiseOR(F.col("value").bitwiseXOR(m)))).alias("variant")
+    )
+    centre = F.min("centre").over(W.partitionBy("variant"))
+    near = near.select(centre.alias("left"), F.col("centre").alias("right"))
+    pairs = same.unionByName(near).where("left != right").distinct()
+    check = nodes.select("node", "check")
+    pairs = pairs.join(check.select(F.col("node").alias("left"), F.col("check").alias("a")), "left")
+    pairs = pairs.join(check.select(F.col("node").alias("right"), F.col("check").alias("b")), "right")
+    # J shared of the union makes a cosine of 2J / (1 + J), and an angle of pi x differing share
+    least = similarity - slack
+    bits = math.floor(CHECK_BITS * math.acos(2 * least / (1 + least)) / math.pi)
+    apart = F.aggregate(F.arrays_zip("a", "b"), F.lit(0), lambda n, x: n + F.bit_count(x["a"].bitwiseXOR(x["b"])).cast("int"))
+    found = components(pairs.where(apart <= bits).select("left", "right"), "left", "right")
+    grouped = prints.join(found, F.col("group") == F.col("node"), "left")
+    own = [c for c in docs.columns if c not in (text, "group")]
+    return grouped.select(*own, F.coalesce("component", "group").alias("group"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each group of similar ones: the one of least id (null ids last).
+
+    Of rows alike in every column one stays. Empty and null texts are alike. ``docs`` is read
+    twice, for the fingerprints and for the rows kept, which are shuffled once.
     """
     whole = F.xxhash64(*[F.col(c) for c in docs.columns])
-    rows = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("row"), F.col(text).alias("text"))
-    prints = cut(fingerprints(rows, shingle=shingle), "fingerprints")
-    # the group's name must not be null here, so it is the place of the id and row in their order
-    grouped = groups(prints.withColumn("name", F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "row")), "name", radius=radius)
-    winners = cut(grouped.groupBy("component_id").agg(F.min("name").alias("name")).select("name.row").distinct(), "kept")
-    key = "__row"
-    first = W.partitionBy(key).orderBy(key)
-    kept = docs.withColumn(key, whole).withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return kept.join(winners, F.col(key) == F.col("row"), "left_semi").select(*docs.columns)
+    name = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), whole.alias("row"))
+    grouped = similar_groups(docs.select(name.alias("name"), F.col(text).alias("text")), "text", **options)
+    winners = cut(grouped.groupBy("group").agg(F.min("name").alias("name")).select("name.row").distinct(), "kept")
+    first = W.partitionBy("__row").orderBy("__row")
+    kept = docs.withColumn("__row", whole).withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return kept.join(winners, F.col("__row") == F.col("row"), "left_semi").select(*docs.columns)
