@@ -49,10 +49,20 @@ def insert_missing(
 
 
 def upsert(target: DataFrame, new: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Replace the rows whose key is given and add the others."""
+    """Overwrite the rows whose key is given, in the columns of ``new``, and add the others.
+
+    Columns that ``new`` lacks keep their value; a NULL in ``new`` overwrites.
+    """
     fresh = one_per_key(new, on)
-    kept = spread_join(target, fresh.select(*on), on, "left_anti")
-    return kept.unionByName(fresh, allowMissingColumns=True)
+    given = [c for c in fresh.columns if c not in on]
+    changes = fresh.select(*on, F.struct(F.lit(True).alias("_"), *given).alias("_new"))
+    joined = spread_join(target, changes, on, "left")
+    columns = [*target.columns, *(c for c in given if c not in target.columns)]
+    value = {c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")) for c in given}
+    value |= {c: value[c].otherwise(F.col(c)) for c in given if c in target.columns}
+    kept = joined.select(*[value.get(c, F.col(c)).alias(c) for c in columns])
+    added = fresh.join(target.select(*on), list(on), "left_anti")
+    return kept.unionByName(added, allowMissingColumns=True)
 
 
 def patch(target: DataFrame, changes: DataFrame, on: Sequence[str]) -> Changed:

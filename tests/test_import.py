@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from coffer import plans
@@ -204,3 +206,12 @@ def test_breakdowns_are_reconciled_and_expanded(spark, dims):
     ok, warnings = expand_breakdown(parts, totals, dims["categories"], ["label"])
     assert rows(ok, "label", "category_id") == [("EVERYDAY", "groceries"), ("JOINT", "shopping"), ("X", "rent")]
     assert rows(warnings, "label", "category") == [("EVERYDAY", "Boats")]
+
+
+@pytest.mark.parametrize("limit", [0, 200])
+def test_rules_have_one_meaning_inline_and_by_join(spark, limit):
+    rules = spark.createDataFrame(
+        [("shop", None, 90), ("shop", "b", 50), ("shop", "a", 50), ("sho", "weak", None)], RULE
+    )
+    df = categorise(texts(spark, ["a shop", "shore"]), rules, max_inline_rules=limit)
+    assert categories(df) == {"a shop": "a", "shore": "weak"}

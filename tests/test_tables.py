@@ -203,3 +203,10 @@ def test_quality_report_flags_budgets_of_the_wrong_type(spark, dims):
         ("unique", "budgets", "one active budget per category", 1),
         ("unique", "budgets", "one active envelope per type", 1),
     ]
+
+
+def test_upsert_keeps_columns_that_are_not_given(spark):
+    target = spark.createDataFrame([(1, "coles", 5, "x")], "id int, keyword string, priority int, note string")
+    new = spark.createDataFrame([("coles", 9, None), ("aldi", 1, "n")], "keyword string, priority int, note string")
+    got = upsert(target, new, ["keyword"])
+    assert rows(got, "id", "keyword", "priority", "note") == [(1, "coles", 9, None), (None, "aldi", 1, "n")]

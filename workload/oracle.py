@@ -711,8 +711,9 @@ ORACLE: dict[str, str] = {
         "SELECT id, description, ruled.category_id FROM lines LEFT JOIN ruled ON p_name = description",
     ),
     "categorised_documents": """WITH r AS (SELECT regexp_extract(text, '(\\w+)\\W*$', 1) AS keyword, item_id, length(text) AS priority FROM benchmark)
-        SELECT md5(text) AS text_md5, arg_min(item_id, (-priority, keyword, item_id)) AS category_id
-        FROM (SELECT DISTINCT text FROM documents) d JOIN r ON contains(upper(d.text), upper(r.keyword)) GROUP BY text""",
+        SELECT doc_id, category_id FROM documents LEFT JOIN (
+        SELECT text, arg_min(item_id, (-priority, keyword, item_id)) AS category_id
+        FROM (SELECT DISTINCT text FROM documents) d JOIN r ON contains(upper(d.text), upper(r.keyword)) GROUP BY text) USING (text)""",
     "deduplicated_lines": sql(
         "lines sledger",
         """SELECT id, 1 AS account_id, transaction_date, amount, raw_description FROM (
@@ -742,7 +743,7 @@ ORACLE: dict[str, str] = {
     ),
     "upserted_goals": sql(
         "goals ctxns",
-        """SELECT g.id, CAST(COALESCE(b.target, g.target_amount) AS DECIMAL(12,2)) AS target_amount, CASE WHEN b.target IS NULL THEN g.status ELSE 'active' END AS status
+        """SELECT g.id, g.account_id, g.name, CAST(COALESCE(b.target, g.target_amount) AS DECIMAL(12,2)) AS target_amount, CASE WHEN b.target IS NULL THEN g.status ELSE 'active' END AS status
         FROM goals g LEFT JOIN (SELECT account_id, max(amount) AS target FROM ctxns WHERE amount >= 400000 GROUP BY 1) b ON b.account_id = g.id""",
     ),
     "patched_goals": sql(

@@ -623,8 +623,8 @@ def categorised_lines_by_join(spark, sf):
 
 @query
 def categorised_documents(spark, sf):
-    """Category of every document by a rule per part, over whole texts."""
-    return op.match_rules(
+    """Category of every document, or NULL, by a rule per benchmark item, over whole texts."""
+    return op.categorise(
         m.table(spark, sf, "documents").select("doc_id", "text"),
         m.table(spark, sf, "benchmark").select(
             F.regexp_extract("text", r"(\w+)\W*$", 1).alias("keyword"),
@@ -632,7 +632,8 @@ def categorised_documents(spark, sf):
             F.length("text").alias("priority"),
         ),
         "text",
-    ).select(F.md5("text").alias("text_md5"), "category_id")
+        max_inline_rules=0,
+    ).select("doc_id", "category_id")
 
 
 @query
@@ -727,7 +728,7 @@ def upserted_goals(spark, sf):
         .agg(F.max("amount").cast("decimal(12,2)").alias("target_amount"))
         .withColumn("status", F.lit("active"))
     )
-    goals = m.goals(spark, sf).select("id", "target_amount", "status")
+    goals = m.goals(spark, sf).select("id", "account_id", "name", "target_amount", "status")
     return op.upsert(goals, big, ["id"])
 
 
