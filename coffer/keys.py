@@ -32,6 +32,11 @@ def one_ledger(df: DataFrame, name: str = "main", key: str = "account_id") -> Da
     return df.withColumn(key, F.lit(name))
 
 
+def ordered(df: DataFrame, order: bool, *columns) -> DataFrame:
+    """``df`` sorted by ``columns`` if asked for; a global sort reads its input once more."""
+    return df.orderBy(*columns) if order else df
+
+
 def null_safe(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     """Join condition on columns where NULL equals NULL; Spark plans it as an equi-join."""
     condition = F.lit(True)

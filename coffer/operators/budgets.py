@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from coffer.functions import fixed_values as fv
-from coffer.keys import KEYS, key_list, null_safe, shared
+from coffer.keys import KEYS, key_list, null_safe, ordered, shared
 from coffer.operators.validation import budget_rules, validate
 
 
@@ -147,8 +147,8 @@ def scd2_apply(
     A change has keys, type_id, category_id (NULL for the envelope), start_date, budget_amount
     and optionally id. The same amount as the version in force changes nothing. Otherwise that
     version ends at ``as_of`` and a new one runs from the start date to the open end. Rejected
-    are invalid changes, several changes of one budget in a call, and changes that would end a
-    version on or before its first day. Without an id a new version gets one derived from its
+    are invalid changes, several changes of one budget in a call, changes of a budget with several
+    versions in force, and changes that would end a version on or before its first day. Without an id a new version gets one derived from its
     content, so a repeated run gives the same.
     """
     keys = key_list(keys)
@@ -165,12 +165,22 @@ def scd2_apply(
     ).withColumn("reasons", F.array(F.lit("several changes of one budget")))
 
     single = grouped.where(F.col("_changes") == 1).select(*slot, "_change.*")
-    current = active(budgets, end).select(
-        *slot, F.col("start_date").alias("_since"), F.col("budget_amount").alias("_amount")
+    current = (
+        active(budgets, end)
+        .groupBy(*slot)
+        .agg(F.max(F.struct("start_date", "budget_amount")).alias("_now"), F.count("*").alias("_open"))
+        .select(*slot, F.col("_now.start_date").alias("_since"), F.col("_now.budget_amount").alias("_amount"), "_open")
     )
-    planned = single.join(current, null_safe(single, current, slot), "left").select(
-        *[single[c] for c in single.columns], "_since", "_amount"
+    found = single.join(current, null_safe(single, current, slot), "left").select(
+        *[single[c] for c in single.columns], "_since", "_amount", "_open"
     )
+    unclear = F.coalesce(F.col("_open") > 1, F.lit(False))
+    ambiguous = (
+        found.where(unclear)
+        .select(*changes.columns)
+        .withColumn("reasons", F.array(F.lit("several versions in force")))
+    )
+    planned = found.where(~unclear)
     unchanged = F.col("_amount").isNotNull() & (F.col("_amount") == F.col("budget_amount"))
     too_early = F.col("_since").isNotNull() & (F.col("_since") >= F.lit(as_of))
     effective = planned.where(~unchanged)
@@ -205,7 +215,7 @@ def scd2_apply(
         (F.col("id") if "id" in changes.columns else F.sha2(content, 256)).alias("id"),
     )
     result = closed.unionByName(opened, allowMissingColumns=True)
-    rejects = invalid.unionByName(crowded).unionByName(late)
+    rejects = invalid.unionByName(crowded).unionByName(ambiguous).unionByName(late)
     return BudgetChange(result, rejects)
 
 
@@ -245,9 +255,10 @@ def list_budgets(
     type_id=None,
     keys: Sequence[str] = KEYS,
     end: date = fv.ACTIVE_END,
+    order: bool = False,
 ) -> DataFrame:
-    """Budgets with names and status, in report order: type, categories before the envelope,
-    start date. Only those in force unless history is asked for."""
+    """Budgets with names and status. Only those in force unless history is asked for. With
+    ``order`` in report order: type, categories before the envelope, start date."""
     keys = key_list(keys)
     rows = budgets if include_history else active(budgets, end)
     if type_id is not None:
@@ -263,7 +274,7 @@ def list_budgets(
         F.col("id").alias("category_id"),
         F.col("name").alias("category_label"),
     )
-    return (
+    named = (
         rows.join(type_names, [*shared(keys, types), "type_id"])
         .join(names, [*shared(keys, categories), "category_id"], "left")
         .select(
@@ -281,7 +292,7 @@ def list_budgets(
             "budget_amount",
             F.when(F.col("end_date") == F.lit(end), "active").otherwise("historical").alias("status"),
         )
-        .orderBy(
-            *keys, "type_sort_order", F.asc_nulls_last("category_id"), "start_date"
-        )
+    )
+    return ordered(
+        named, order, *keys, "type_sort_order", F.asc_nulls_last("category_id"), "start_date"
     )

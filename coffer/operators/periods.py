@@ -143,7 +143,7 @@ def detect_pay_dates(
     if pay_dates is None:
         flagged = candidates.withColumn("_near", F.lit(None).cast("boolean"))
     else:
-        near = near_dates(pay_dates, gap_days, keys)
+        near = near_dates(candidates, pay_dates, gap_days, keys)
         flagged = candidates.join(near.withColumn("_near", F.lit(True)), [*keys, "pay_date"], "left")
 
     last = lambda accepted: F.element_at(accepted, -1)
@@ -181,20 +181,32 @@ def detect_pay_dates(
 
 
 def near_dates(
-    pay_dates: DataFrame, gap_days: int = fv.PAYDAY_GAP_DAYS, keys: Sequence[str] = KEYS
+    candidates: DataFrame,
+    pay_dates: DataFrame,
+    gap_days: int = fv.PAYDAY_GAP_DAYS,
+    keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Every day within ``gap_days`` of a pay date.
+    """The distinct candidate days within ``gap_days`` of a pay date of their ledger.
 
-    Spelling the neighbourhood out as days turns a distance test into an equi-join.
+    Both are merged into one run of distinct days per ledger, where a frame of days looks for a
+    pay date; rows are reduced to days before they are shuffled, and nothing is spelled out.
     """
-    day = F.explode(
-        F.sequence(
-            F.date_sub("pay_date", gap_days),
-            F.date_add("pay_date", gap_days),
-            F.expr("interval 1 day"),
-        )
+    keys = key_list(keys)
+    days = [
+        df.select(*keys, "pay_date", F.lit(asked).alias("_asked"), F.lit(not asked).alias("_paid"))
+        for df, asked in ((candidates, True), (pay_dates, False))
+    ]
+    merged = (
+        days[0]
+        .unionByName(days[1])
+        .dropna(subset=[*keys, "pay_date"])
+        .groupBy(*keys, "pay_date")
+        .agg(F.bool_or("_asked").alias("_asked"), F.bool_or("_paid").alias("_paid"))
     )
-    return pay_dates.select(*keys, day.alias("pay_date")).distinct()
+    day = F.unix_date("pay_date")
+    around = Window.partitionBy(*keys).orderBy(day).rangeBetween(-gap_days, gap_days)
+    near = merged.withColumn("_near", F.max("_paid").over(around))
+    return near.where(F.col("_asked") & F.col("_near")).select(*keys, "pay_date")
 
 
 def not_near(
@@ -205,4 +217,5 @@ def not_near(
 ) -> DataFrame:
     """Candidate dates without a confirmed pay date in the neighbourhood (anti join)."""
     keys = key_list(keys)
-    return candidates.join(near_dates(pay_dates, gap_days, keys), [*keys, "pay_date"], "left_anti")
+    near = near_dates(candidates, pay_dates, gap_days, keys)
+    return candidates.join(near, [*keys, "pay_date"], "left_anti")

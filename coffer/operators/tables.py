@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coffer.keys import null_safe, spread_join
+from coffer.keys import KEYS, null_safe, shared, spread_join
 from coffer.operators.validation import transaction_rules, validate
 
 
@@ -94,17 +94,26 @@ def delete_keys(target: DataFrame, keys_df: DataFrame, on: Sequence[str]) -> Cha
 
 
 def backfill_key(
-    df: DataFrame, lookup: DataFrame, on: Mapping[str, str], out: str, lookup_id: str = "id"
+    df: DataFrame,
+    lookup: DataFrame,
+    on: Mapping[str, str],
+    out: str,
+    lookup_id: str = "id",
+    keys: Sequence[str] = KEYS,
 ) -> Changed:
     """Fill ``out`` with the id of the lookup row whose text matches.
 
     ``on`` maps columns of ``df`` to columns of ``lookup``. A value already in ``out`` is
-    overwritten only by a match. The rows left without a key come back as rejects.
+    overwritten only by a match. A lookup that carries ledger keys is used within the ledger;
+    of several rows of one text the least id counts. The rows left without a key come back as
+    rejects.
     """
-    ids = lookup.select(
+    on = {**{k: k for k in shared(keys, lookup)}, **on}
+    named = lookup.select(
         *[F.col(theirs).alias(ours) for ours, theirs in on.items()],
         F.col(lookup_id).alias("_found"),
     )
+    ids = named.groupBy(*on).agg(F.min("_found").alias("_found"))
     old = [F.col(out)] if out in df.columns else []
     filled = spread_join(df, ids, list(on), "left").select(
         *[c for c in df.columns if c != out], F.coalesce("_found", *old).alias(out)
@@ -112,11 +121,19 @@ def backfill_key(
     return Changed(filled, filled.where(F.col(out).isNull()))
 
 
-def tag_by_name(df: DataFrame, tags: DataFrame, name: str, tag: str, default: str) -> DataFrame:
-    """Label rows by a name list (``name``, ``tag``); names not listed get the default."""
-    labels = tags.select(F.col("name").alias(name), F.col("tag").alias("_tag"))
+def tag_by_name(
+    df: DataFrame, tags: DataFrame, name: str, tag: str, default: str, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Label rows by a name list (``name``, ``tag``); names not listed get the default.
+
+    A list that carries ledger keys is used within the ledger; of several tags of one name the
+    least counts.
+    """
+    on = [*shared(keys, tags), name]
+    named = tags.select(*shared(keys, tags), F.col("name").alias(name), F.col("tag").alias("_tag"))
+    labels = named.groupBy(*on).agg(F.min("_tag").alias("_tag"))
     return (
-        spread_join(df.drop(tag), labels, [name], "left")
+        spread_join(df.drop(tag), labels, on, "left")
         .withColumn(tag, F.coalesce("_tag", F.lit(default)))
         .drop("_tag")
     )

@@ -31,7 +31,8 @@ def unify_budgets(
     """Monthly category budgets and monthly group budgets as one table of open versions.
 
     A category budget takes its type from the category; a group budget becomes the envelope of
-    the type of the same name. The checks report rows lost or changed on the way.
+    the type of the same name (of several the one of least id), within the ledger if groups or
+    types carry its keys. The checks report rows lost or changed on the way.
     """
     keys = key_list(keys)
     category_types = categories.select(
@@ -44,13 +45,16 @@ def unify_budgets(
         .withColumn("end_date", F.lit(end))
         .select(*columns)
     )
+    own_groups, own_types = shared(keys, groups), shared(keys, types)
+    type_names = types.groupBy(*own_types, "name").agg(F.min("id").alias("type_id"))
     group_types = (
-        groups.select(F.col("id").alias("expense_group_id"), "name")
-        .join(types.select(F.col("id").alias("type_id"), "name"), "name")
+        groups.select(*own_groups, F.col("id").alias("expense_group_id"), "name")
+        .join(type_names, [*(k for k in own_types if k in own_groups), "name"])
         .drop("name")
     )
+    of_group = [*shared(keys, group_types), "expense_group_id"]
     grouped = (
-        group_monthly.join(group_types, "expense_group_id")
+        group_monthly.join(group_types, of_group)
         .withColumn("category_id", F.lit(None).cast(monthly.schema["category_id"].dataType))
         .withColumn("start_date", F.col("year_month"))
         .withColumn("end_date", F.lit(end))
@@ -58,7 +62,7 @@ def unify_budgets(
     budgets = by_category.unionByName(grouped.select(*columns))
 
     single, shared_rows = F.col("category_id").isNotNull(), F.col("category_id").isNull()
-    expected_groups = group_monthly.join(group_types, "expense_group_id", "left").withColumn(
+    expected_groups = group_monthly.join(group_types, of_group, "left").withColumn(
         "start_date", F.col("year_month")
     )
     checks = (

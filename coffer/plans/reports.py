@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from coffer.functions import fixed_values as fv
 from coffer.functions.dates import in_month, month_bounds, month_start, reference_day
 from coffer.functions.money import band, money, pct, total, total_if
-from coffer.keys import KEYS, key_list, shared, spread_join
+from coffer.keys import KEYS, key_list, ordered, shared, spread_join
 from coffer.operators.budgets import active
 from coffer.operators.dims import enrich_transactions, stg_categories
 from coffer.operators.spend import monthly_category_spend, with_month_spend
@@ -30,23 +30,25 @@ def monthly_spending(
     month: str | date | None = None,
     category: str | None = None,
     keys: Sequence[str] = KEYS,
+    order: bool = False,
 ) -> DataFrame:
-    """Total and count per category name, largest total first; one month or every month."""
+    """Total and count per category name; one month or every month. With ``order`` the largest
+    total comes first."""
     keys = key_list(keys)
     names = categories.select(
         *shared(keys, categories), F.col("id").alias("category_id"), F.col("name").alias("category")
     )
     if category is not None:
         names = names.where(F.col("category") == F.lit(category))
-    return (
+    spending = (
         _monthly(txns, month, keys)
         .join(names, [*shared(keys, categories), "category_id"])
         .groupBy(*keys, "month", "category")
         .agg(
             total("amount").alias("total"), F.sum("transaction_count").alias("transaction_count")
         )
-        .orderBy(*keys, "month", F.desc("total"), "category")
     )
+    return ordered(spending, order, *keys, "month", F.desc("total"), "category")
 
 
 def monthly_totals(
@@ -249,32 +251,37 @@ def list_types(types: DataFrame) -> DataFrame:
 
 
 def list_categories(
-    categories: DataFrame, types: DataFrame, type_id=None, keys: Sequence[str] = KEYS
+    categories: DataFrame,
+    types: DataFrame,
+    type_id=None,
+    keys: Sequence[str] = KEYS,
+    order: bool = False,
 ) -> DataFrame:
-    """Categories with their type, by name."""
+    """Categories with their type; with ``order`` by name."""
     rows = stg_categories(categories, types, keys)
     if type_id is not None:
         rows = rows.where(F.col("type_id") == F.lit(type_id))
-    return rows.orderBy("category_name")
+    return ordered(rows, order, "category_name")
 
 
 def list_rules(
-    rules: DataFrame, categories: DataFrame, keys: Sequence[str] = KEYS
+    rules: DataFrame, categories: DataFrame, keys: Sequence[str] = KEYS, order: bool = False
 ) -> DataFrame:
-    """Merchant rules with their category, strongest first."""
+    """Merchant rules with their category; with ``order`` the strongest first."""
     names = categories.select(
         *shared(keys, categories),
         F.col("id").alias("category_id"),
         F.col("name").alias("category_name"),
     )
     on = [k for k in shared(keys, categories) if k in rules.columns]
-    return rules.join(names, [*on, "category_id"], "left").orderBy(
-        F.desc("priority"), "keyword"
-    )
+    named = rules.join(names, [*on, "category_id"], "left")
+    return ordered(named, order, F.desc("priority"), "keyword")
 
 
-def list_pay_dates(pay_dates: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return pay_dates.orderBy(*key_list(keys), "pay_date")
+def list_pay_dates(
+    pay_dates: DataFrame, keys: Sequence[str] = KEYS, order: bool = False
+) -> DataFrame:
+    return ordered(pay_dates, order, *key_list(keys), "pay_date")
 
 
 def list_goals(goals: DataFrame, status: str = "active") -> DataFrame:
@@ -286,8 +293,9 @@ def categories_by_type(
     types: DataFrame,
     type_name: str | None = None,
     keys: Sequence[str] = KEYS,
+    order: bool = False,
 ) -> DataFrame:
-    """Category names and their number per type, in the order of the types.
+    """Category names and their number per type; with ``order`` in the order of the types.
 
     The array holds the categories of one type of one ledger.
     """
@@ -295,14 +303,11 @@ def categories_by_type(
     if type_name is not None:
         rows = rows.where(F.col("type_name") == F.lit(type_name))
     own = shared(key_list(keys), rows)
-    return (
-        rows.groupBy(*own, "type_name", "type_sort_order")
-        .agg(
-            F.array_sort(F.collect_list("category_name")).alias("categories"),
-            F.count("*").alias("category_count"),
-        )
-        .orderBy(*own, "type_sort_order")
+    counted = rows.groupBy(*own, "type_name", "type_sort_order").agg(
+        F.array_sort(F.collect_list("category_name")).alias("categories"),
+        F.count("*").alias("category_count"),
     )
+    return ordered(counted, order, *own, "type_sort_order")
 
 
 def goal_progress(goals: DataFrame, status: str = "active") -> DataFrame:
@@ -350,10 +355,11 @@ def sheet_balance(
     rows: DataFrame, categories: DataFrame, income_category: str, keys: Sequence[str]
 ) -> DataFrame:
     """Income, expenses and net of unpivoted sheet rows, one row per sheet."""
-    names = categories.select(F.col("id").alias("category_id"), F.col("name").alias("_name"))
+    own = shared(keys, categories)
+    names = categories.select(*own, F.col("id").alias("category_id"), F.col("name").alias("_name"))
     income = F.col("_name") == F.lit(income_category)
     sums = (
-        rows.join(names, "category_id", "left")
+        rows.join(names, [*own, "category_id"], "left")
         .groupBy(*keys)
         .agg(
             total_if(income, "amount").alias("income"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from coffer.functions import fixed_values as fv
-from coffer.keys import spread_join
+from coffer.keys import KEYS, shared, spread_join
 
 
 def values(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
@@ -27,11 +27,22 @@ def values(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
 
 
 def lookup_id(
-    df: DataFrame, dim: DataFrame, name: str, out: str, dim_name: str = "name", dim_id: str = "id"
+    df: DataFrame,
+    dim: DataFrame,
+    name: str,
+    out: str,
+    dim_name: str = "name",
+    dim_id: str = "id",
+    keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Replace a name column by the id of the row of that name; rows without one get NULL."""
-    ids = dim.select(F.col(dim_name).alias(name), F.col(dim_id).alias(out))
-    return spread_join(df, ids, [name], "left").drop(name)
+    """Replace a name column by the id of the row of that name; rows without one get NULL.
+
+    A dimension that carries ledger keys is looked up within the ledger. Of several rows of one
+    name the least id counts; ``check_unique`` reports them.
+    """
+    on = [*shared(keys, dim), name]
+    named = dim.select(*shared(keys, dim), F.col(dim_name).alias(name), F.col(dim_id).alias(out))
+    return spread_join(df, named.groupBy(*on).agg(F.min(out).alias(out)), on, "left").drop(name)
 
 
 def seed_reference(

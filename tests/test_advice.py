@@ -165,6 +165,13 @@ def test_budget_changes_keep_history(spark):
     assert rows(again.budgets, *done.budgets.columns) == rows(done.budgets)
 
 
+def test_a_budget_with_two_versions_in_force_is_not_changed(spark):
+    plan = budgets(spark, [("1", "fixed", "rent", "2026-01-01", None, 100), ("2", "fixed", "rent", "2026-02-01", None, 120)])
+    done = scd2_apply(plan, change(spark, [("fixed", "rent", "2026-03-05", 130)]), D("2026-03-01"))
+    assert rows(done.budgets, *plan.columns) == rows(plan)
+    assert rows(done.rejects, "category_id", "reasons") == [("rent", ["several versions in force"])]
+
+
 def test_overwriting_keeps_one_version(spark):
     plan = budgets(spark, [("1", "variable", None, "2026-01-01", None, 500), ("2", "variable", None, "2025-01-01", "2026-01-01", 400)])
     done = overwrite_active(plan, change(spark, [("variable", None, "2026-04-01", 1700), ("fixed", None, "2026-04-01", 9)]))
@@ -178,11 +185,11 @@ def test_overwriting_keeps_one_version(spark):
 def test_budget_listing(spark, dims):
     plan = budgets(spark, [("1", "variable", None, "2026-01-01", None, 500), ("2", "fixed", "rent", "2025-01-01", "2026-01-01", 4),
                            ("3", "fixed", None, "2025-01-01", None, 6), ("4", "fixed", "rent", "2026-01-01", None, 5)])
-    listed = list_budgets(plan, dims["types"], dims["categories"], include_history=True)
+    listed = list_budgets(plan, dims["types"], dims["categories"], include_history=True, order=True)
     assert [(r["id"], r["category_name"], r["status"]) for r in listed.collect()] == [
         ("2", "Rent", "historical"), ("4", "Rent", "active"), ("3", "-- ALL --", "active"), ("1", "-- ALL --", "active"),
     ]
-    assert [r["id"] for r in list_budgets(plan, dims["types"], dims["categories"], type_id="fixed").collect()] == ["4", "3"]
+    assert [r["id"] for r in list_budgets(plan, dims["types"], dims["categories"], type_id="fixed", order=True).collect()] == ["4", "3"]
 
 
 def test_budget_status_uses_the_reference_day(spark, dims):

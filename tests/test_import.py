@@ -8,6 +8,7 @@ from coffer import plans
 from coffer.operators import categorise, dedup_new, match_rules
 from coffer.session import work_dir
 from coffer.sources import expand_breakdown, parse_statement, read_statement, unpivot_sheet
+from coffer.sources.statements import SOURCE_ORDER
 from coffer.streaming import import_stream
 from conftest import D, M, rows
 
@@ -52,6 +53,49 @@ def test_reading_files_with_a_byte_order_mark(spark, tmp_path):
     assert rejects.count() == 0
 
 
+def write_files(base, files):
+    for name, text in files.items():
+        os.makedirs(os.path.dirname(f"{base}/{name}"), exist_ok=True)
+        with open(f"{base}/{name}", "w", encoding="utf-8", newline="") as file:
+            file.write(text)
+
+
+HEADER = "Date,Amount,Description,Balance\n"
+
+
+def test_quotes_line_breaks_and_columns_by_name(spark, tmp_path):
+    write_files(tmp_path, {"x/s.csv": 'Description,Extra,Date,Amount\n"JOE ""THE"" SHOP, SYD",1,1/6/2026,-5\n"two\nlines",2,2/6/2026,-6\n'})
+    ok, rejects = parse_statement(read_statement(spark, str(tmp_path / "x")))
+    assert rows(ok, "raw_description", "amount", "balance") == [('JOE "THE" SHOP, SYD', M(5), None), ("two\nlines", M(6), None)]
+    assert rejects.count() == 0
+
+
+def test_files_with_different_headers_are_refused(spark, tmp_path):
+    write_files(tmp_path, {"x/a.csv": HEADER + "1/6/2026,-5,a,1\n", "x/b.csv": "Amount,Date,Description,Balance\n-5,1/6/2026,a,1\n"})
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        read_statement(spark, str(tmp_path / "x")).collect()
+
+
+def test_the_first_file_wins_at_any_split_size(spark, tmp_path):
+    line = "1/6/2026,{},same,\n"
+    write_files(tmp_path, {"account_id=a/1.csv": HEADER + "2/6/2026,-1,other,\n" + line.format(-5),
+                           "account_id=a/2.csv": HEADER + line.format(5) + "".join(f"3/6/2026,-{i},pad {i},\n" for i in range(1, 400))})
+    rules = spark.createDataFrame([("same", "c", 1)], RULE)
+    ledger = spark.createDataFrame([], LEDGER)
+    for size in ("64", "1m"):
+        with_size = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": "1"}
+        old = {k: spark.conf.get(k) for k in with_size}
+        try:
+            for k, v in with_size.items():
+                spark.conf.set(k, v)
+            done = plans.import_statement(read_statement(spark, str(tmp_path)), rules, ledger, "b", SOURCE_ORDER)
+            assert rows(done.inserted, "payment_method") == [("card",)]
+            assert rows(done.duplicates, F.substring_index("source_file", "/", -1)) == [("2.csv",)]
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+
+
 RULES = [("COLES", "groceries", 10), ("uber", "transport", 5), ("UBER EATS", "dining", 5), ("GYM", "health", 3), ("b_", "odd", 1)]
 TEXTS = ["Coles Uber", "UBER EATS sydney", "the gym", "nothing", "ab_c", "", "Über", "line\nuber\nbreak", None]
 EXPECTED = {"Coles Uber": "groceries", "UBER EATS sydney": "dining", "the gym": "health", "nothing": None, "ab_c": "odd",
@@ -143,31 +187,32 @@ def test_first_occurrence_wins(spark):
     assert rows(dedup_new(batch, ledger), "source_line", "extra") == [(0, 0.0)]
 
 
-def test_stream_imports_new_files_once(spark, tmp_path):
+def test_stream_imports_new_files_once(spark):
     base = work_dir(spark, "stream")
     rules = spark.createDataFrame(RULES, RULE)
-
-    def drop(name, lines):
-        statement(spark, lines).coalesce(1).write.option("header", True).csv(f"{base}/{name}")
-        os.makedirs(f"{base}/in", exist_ok=True)
-        part = next(f for f in os.listdir(f"{base}/{name}") if f.endswith(".csv"))
-        os.link(f"{base}/{name}/{part}", f"{base}/in/{name}.csv")
+    ledger = spark.createDataFrame([("a", D("2026-06-03"), M(7), "uber home"), ("b", D("2026-06-01"), M(50), "Coles")], LEDGER)
 
     def run(checkpoint):
-        import_stream(spark, f"{base}/in", f"{base}/ledger", f"{base}/{checkpoint}", rules).awaitTermination()
-        return rows(spark.read.parquet(f"{base}/ledger"), "transaction_date", "amount", "category_id", "source")
-
-    first = [("1/6/2026", "-50", "Coles"), ("2/6/2026", "-9", "gym"), ("2/6/2026", "-9", "mystery")]
-    second = [("2/6/2026", "-9", "gym"), ("1/1/2020", "-3", "uber late")]
-    drop("one", first)
-    assert len(run("checkpoint")) == 2
-    assert len(run("checkpoint")) == 2
-    drop("two", second)
+        import_stream(spark, f"{base}/in", f"{base}/ledger", f"{base}/{checkpoint}", rules, ledger).awaitTermination()
+        return rows(spark.read.parquet(f"{base}/ledger"), "account_id", "transaction_date", "amount", "category_id", "source")
+
+    def report(name, *columns):
+        return rows(spark.read.parquet(f"{base}/ledger-reports/{name}"), *columns)
+
+    write_files(base, {"in/account_id=a/1.csv": HEADER + '1/6/2026,-50,Coles,\n2/6/2026,-9,"gym, ""the"" one",10\n2/6/2026,-9,mystery,\n'
+                       "3/6/2026,-7,uber home,\nbad,-1,gym,\n"})
+    first = [("a", D("2026-06-01"), M(50), "groceries", "bank_import"), ("a", D("2026-06-02"), M(9), "health", "bank_import")]
+    assert run("checkpoint") == first
+    assert report("review", "raw_description") == [("mystery",)] and report("duplicates", "raw_description") == [("uber home",)]
+    assert report("rejects", "account_id", "source_line", "reasons") == [("a", 6, ["bad date"])]
+    assert report("summary", "matched", "unknown", "inserted", "skipped", "rejected") == [(3, 1, 2, 2, 1)]
+    assert run("checkpoint") == first
+    write_files(base, {"in/account_id=a/2.csv": HEADER + '2/6/2026,-9,"gym, ""the"" one",10\n1/1/2020,-3,uber late,\n'})
     after = run("checkpoint")
-    batch = rows(run_import(spark, first + second).inserted, "transaction_date", "amount", "category_id", "source")
-    assert after == batch and len(after) == 3
+    assert after == sorted([*first, ("a", D("2020-01-01"), M(3), "transport", "bank_import")], key=repr)
     folders = [f for f in os.listdir(f"{base}/ledger") if f.startswith("import_batch_id=")]
     assert len({f.split("=")[1].rsplit("_", 1)[0] for f in folders}) == 1 and "None" not in "".join(folders)
+    assert sorted(f for x in folders for f in os.listdir(f"{base}/ledger/{x}") if f.startswith("year")) == ["year_month=2020-01", "year_month=2026-06"]
     assert run("fresh-checkpoint") == after
 
 
@@ -191,6 +236,31 @@ def test_sheet_cells_become_transactions(spark, dims):
     assert rows(plans.sheet_balance(ok, dims["categories"], "Salary", ["account_id"])) == [("a", M(6760), M(30.5), 2, M(6729.5))]
 
 
+def test_sheets_with_categories_per_ledger(spark):
+    sheet = spark.createDataFrame([("a", 5.0), ("b", 6.0), ("c", 7.0)], "account_id string, Gym double")
+    mapping = spark.createDataFrame([("Gym", "Health", D("2026-03-16"), "x")], "column string, category string, date date, description string")
+    categories = spark.createDataFrame(
+        [("a", "a1", "Health"), ("a", "a2", "Health"), ("b", "b1", "Health")], "account_id string, id string, name string"
+    )
+    ok, warnings = unpivot_sheet(sheet, ["account_id"], mapping, categories)
+    assert rows(ok, "account_id", "category_id") == [("a", "a1"), ("b", "b1")] and rows(warnings, "account_id") == [("c",)]
+    assert rows(plans.sheet_balance(ok, categories, "Health", ["account_id"]), "account_id", "income") == [("a", M(5)), ("b", M(6))]
+
+
+def test_envelopes_with_types_per_ledger(spark):
+    budget = "account_id string, {} string, year_month date, budget_amount decimal(12,2)"
+    monthly = spark.createDataFrame([("a", "rent", D("2026-01-01"), M(1))], budget.format("category_id"))
+    group_monthly = spark.createDataFrame([("a", "g", D("2026-01-01"), M(2)), ("b", "g", D("2026-01-01"), M(3))], budget.format("expense_group_id"))
+    cats = spark.createDataFrame([("a", "rent", "a-fixed")], "account_id string, id string, type_id string")
+    groups = spark.createDataFrame([("g", "fixed")], "id string, name string")
+    types = spark.createDataFrame([("a", "a-fixed", "fixed"), ("b", "b-fixed", "fixed")], "account_id string, id string, name string")
+    done = plans.unify_budgets(monthly, group_monthly, cats, groups, types)
+    assert rows(done.budgets, "account_id", "type_id", "category_id", "budget_amount") == [
+        ("a", "a-fixed", "rent", M(1)), ("a", "a-fixed", None, M(2)), ("b", "b-fixed", None, M(3)),
+    ]
+    assert done.checks.where("violations > 0").count() == 0
+
+
 def test_breakdowns_are_reconciled_and_expanded(spark, dims):
     parts = spark.createDataFrame(
         [("EVERYDAY", "Groceries", M(300)), ("EVERYDAY", "Boats", M(265.8)), ("JOINT", "Shopping", M(40)), ("OFF", "Shopping", M(5)), ("X", "Rent", M(1))],

@@ -7,7 +7,7 @@ from coffer.operators import (
     check_unique, check_value_set, delete_keys, enrich_transactions, insert_missing, patch, quality_report, stg_categories,
     table_counts, tag_by_name, upsert,
 )
-from coffer.sources import date_dim, load_ledger, write_table
+from coffer.sources import lookup_id, date_dim, load_ledger, write_table
 from coffer.functions.fixed_values import CATEGORIES
 from conftest import D, M, budgets, pay_dates, rows, txns
 
@@ -50,6 +50,16 @@ def test_backfill_and_tags(spark):
     assert rows(tag_by_name(df, tags, "name", "expense_group", "variable")) == [("a", "fixed"), ("b", "variable")]
 
 
+def test_lookups_keep_to_their_ledger_and_never_multiply_rows(spark):
+    dim = spark.createDataFrame([("a", "x", "2"), ("a", "x", "1"), ("b", "x", "3")], "account_id string, name string, id string")
+    df = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x")], "account_id string, label string")
+    expected = [("a", "1"), ("b", "3"), ("c", None)]
+    assert rows(lookup_id(df, dim, "label", "label_id"), "account_id", "label_id") == expected
+    assert rows(backfill_key(df, dim, {"label": "name"}, "label_id").table, "account_id", "label_id") == expected
+    tags = dim.withColumnRenamed("id", "tag")
+    assert rows(tag_by_name(df, tags, "label", "group", "none"), "account_id", "group") == [("a", "1"), ("b", "3"), ("c", "none")]
+
+
 def test_append_fills_defaults_and_rejects(spark):
     new = txns(spark, [("2026-01-01", "rent", 5), ("2026-01-02", "rent", 0), ("2026-01-03", None, 5)])
     done = append_transactions(txns(spark, [("2026-01-01", "rent", 1)]), new)
@@ -110,7 +120,7 @@ def test_pages(spark, dims):
 
 def test_month_reports(spark, dims):
     ledger = txns(spark, [("2026-03-01", "rent", 300), ("2026-03-02", "salary", 1000), ("2026-03-03", "travel fund", 50), ("2026-04-01", "rent", 9)])
-    spending = plans.monthly_spending(ledger, dims["categories"], "2026-03")
+    spending = plans.monthly_spending(ledger, dims["categories"], "2026-03", order=True)
     assert [(r["category"], r["total"], r["transaction_count"]) for r in spending.collect()] == [
         ("Salary", M(1000), 1), ("Rent", M(300), 1), ("Travel Fund", M(50), 1),
     ]
@@ -124,13 +134,13 @@ def test_month_reports(spark, dims):
 
 def test_listings(spark, dims):
     assert [r["name"] for r in plans.list_types(dims["types"]).collect()] == ["fixed", "variable", "income", "saving"]
-    names = [r["category_name"] for r in plans.list_categories(dims["categories"], dims["types"], "saving").collect()]
+    names = [r["category_name"] for r in plans.list_categories(dims["categories"], dims["types"], "saving", order=True).collect()]
     assert names == ["Emergency Fund", "General Savings", "Investment Savings", "Travel Fund"]
-    assert [r["keyword"] for r in plans.list_rules(dims["merchant_rules"], dims["categories"]).collect()][:4] == ["ALDI", "COLES", "WOOLWORTHS", "AGL"]
-    by_type = plans.categories_by_type(dims["categories"], dims["types"]).collect()
+    assert [r["keyword"] for r in plans.list_rules(dims["merchant_rules"], dims["categories"], order=True).collect()][:4] == ["ALDI", "COLES", "WOOLWORTHS", "AGL"]
+    by_type = plans.categories_by_type(dims["categories"], dims["types"], order=True).collect()
     assert [(r["type_name"], r["category_count"]) for r in by_type] == [("fixed", 6), ("variable", 8), ("income", 4), ("saving", 4)]
     assert by_type[2]["categories"] == ["Freelance", "Investment", "Other Income", "Salary"]
-    assert [r["pay_date"] for r in plans.list_pay_dates(pay_dates(spark, ["2026-02-01", "2026-01-01"])).collect()] == [D("2026-01-01"), D("2026-02-01")]
+    assert [r["pay_date"] for r in plans.list_pay_dates(pay_dates(spark, ["2026-02-01", "2026-01-01"]), order=True).collect()] == [D("2026-01-01"), D("2026-02-01")]
 
 
 def test_goals_and_plan(spark):

@@ -337,6 +337,17 @@ ORACLE: dict[str, str] = {
         f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, {REJECT_TEXT} AS reasons FROM statement
         WHERE transaction_date IS NULL OR amount IS NULL OR bad_balance""",
     ),
+    "read_statements": sql(
+        "readable",
+        """SELECT account_id, transaction_date, CAST(amount AS DECIMAL(12,2)) AS amount,
+        '"' || raw_description || '", Sydney' AS raw_description, is_credit, balance FROM readable""",
+    ),
+    "unpivoted_sheets_per_account": sql(
+        "sheets mapping acats",
+        """SELECT account_id, month, CAST(month + day_offset AS DATE) AS transaction_date, acats.id AS category_id,
+        CAST(amount AS DECIMAL(12,2)) AS amount, description, 'card' AS payment_method
+        FROM sheets JOIN mapping USING (col) JOIN acats USING (account_id) WHERE acats.name = category AND amount <> 0""",
+    ),
     "unpivoted_sheets": sql(
         "sheets mapping cats",
         """SELECT account_id, month, CAST(month + day_offset AS DATE) AS transaction_date, cats.id AS category_id,
@@ -724,12 +735,18 @@ ORACLE: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY transaction_date, amount, raw_description ORDER BY id) = 1""",
     ),
     "streamed_statement_import": sql(
-        "readable ruled",
+        "outcome",
         """SELECT account_id, transaction_date, category_id, CAST(amount AS DECIMAL(12,2)) AS amount, raw_description AS description,
         CASE WHEN is_credit THEN 'transfer' ELSE 'card' END AS payment_method, 'bank_import' AS source, raw_description
-        FROM readable JOIN ruled ON p_name = raw_description WHERE amount > 0 AND category_id IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY account_id, transaction_date, amount, raw_description
-          ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) = 1""",
+        FROM outcome WHERE category_id IS NOT NULL AND NOT known AND copy_no = 1""",
+    ),
+    "streamed_statement_reports": sql(
+        "outcome statement",
+        """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
+        CASE WHEN known OR category_id IS NOT NULL THEN 'duplicates' ELSE 'review' END AS outcome
+        FROM outcome WHERE known OR category_id IS NULL OR copy_no > 1
+        UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, 'rejects'
+        FROM statement WHERE transaction_date IS NULL OR amount IS NULL OR bad_balance OR amount <= 0""",
     ),
     "insert_missing_days": sql(
         "ctxns",

@@ -22,11 +22,12 @@ from coffer.sources import (
     expand_breakdown,
     lookup_id,
     parse_statement,
+    read_statement,
     unpivot_sheet,
     values,
     with_calendar,
 )
-from coffer.streaming import import_stream, read_imported
+from coffer.streaming import import_stream
 from workload import mapping as m
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +89,26 @@ def parsed_statement_rejects(spark, sf):
     return rejects.select(*m.LINE_ID, _joined("reasons"))
 
 
+@query
+def read_statements(spark, sf):
+    """Statement files of several accounts read back: quotes and commas in the texts, columns in
+    another order than usual."""
+    base = work_dir(spark, "statements")
+    lines = m.statement_lines(spark, sf)
+    text = F.concat(F.lit('"'), "Description", F.lit('", Sydney'))
+    lines.select("account_id", "Balance", text.alias("Description"), "Amount", "Date").write.partitionBy(
+        "account_id"
+    ).options(header=True, escape='"').csv(base)
+    return parse_statement(read_statement(spark, base)).ok.select(
+        F.col("account_id").cast(lines.schema["account_id"].dataType).alias("account_id"),
+        "transaction_date",
+        "amount",
+        "raw_description",
+        "is_credit",
+        "balance",
+    )
+
+
 @query
 def unpivoted_sheets(spark, sf):
     rows = unpivot_sheet(
@@ -96,6 +117,19 @@ def unpivoted_sheets(spark, sf):
     return rows.drop("column")
 
 
+@query
+def unpivoted_sheets_per_account(spark, sf):
+    """The same where every account has categories of its own."""
+    rows = unpivot_sheet(
+        m.sheets(spark, sf),
+        ["account_id", "month"],
+        m.sheet_mapping(spark),
+        m.account_categories(spark, sf),
+        "month",
+    ).ok
+    return rows.drop("column")
+
+
 @query
 def sheet_warnings(spark, sf):
     return unpivot_sheet(
@@ -542,7 +576,7 @@ def detect_pay_dates_summary(spark, sf):
 
 @query
 def salary_dates_not_near_confirmed(spark, sf):
-    """Salary dates without a confirmed date in the week before or after, by customer."""
+    """Salary dates without a confirmed date within 60 days before or after, by customer."""
     txns = m.customer_ledger(spark, sf)
     dates = lambda df: df.select("account_id", F.col("transaction_date").alias("pay_date")).distinct()
     confirmed = dates(txns.where(F.col("category_id") == "5-LOW"))
@@ -654,25 +688,33 @@ def deduplicated_lines(spark, sf):
     return op.dedup_new(batch, ledger, order=["id"])
 
 
-@query
-def streamed_statement_import(spark, sf):
-    """Statement files of several days imported by the stream, twice; the ledger read back."""
+def _streamed(spark, sf, runs: int) -> str:
+    """Statement files of all accounts imported by the stream onto the ledger of earlier imports,
+    a few files per batch; each run has a checkpoint of its own, so it sees all files again."""
     base = work_dir(spark, "statement-stream")
     lines = m.statement_lines(spark, sf)
-    lines.write.option("header", True).csv(f"{base}/in/part=1")
-    schema = lines.schema
-    rules = m.rules(spark)
-    for checkpoint in ("first", "again"):
+    lines.repartition("account_id").write.partitionBy("account_id").options(
+        header=True, escape='"'
+    ).csv(f"{base}/in")
+    for run in range(runs):
         import_stream(
             spark,
-            f"{base}/in/part=1",
+            f"{base}/in",
             f"{base}/ledger",
-            f"{base}/checkpoint-{checkpoint}",
-            rules,
-            schema,
-            m.LINE_ID,
+            f"{base}/checkpoint-{run}",
+            m.rules(spark),
+            m.statement_ledger(spark, sf),
+            schema=lines.schema,
+            row_id=m.LINE_ID,
+            max_files_per_trigger=4,
         ).awaitTermination()
-    ledger = spark.read.parquet(f"{base}/ledger")
+    return base
+
+
+@query
+def streamed_statement_import(spark, sf):
+    """What two runs of the stream insert: the second one finds everything known."""
+    ledger = spark.read.parquet(f"{_streamed(spark, sf, 2)}/ledger")
     return ledger.select(
         "account_id",
         "transaction_date",
@@ -685,6 +727,17 @@ def streamed_statement_import(spark, sf):
     )
 
 
+@query
+def streamed_statement_reports(spark, sf):
+    """Lines the stream did not insert, by what became of them."""
+    reports = f"{_streamed(spark, sf, 1)}/ledger-reports"
+    tables = [
+        spark.read.parquet(f"{reports}/{name}").select(*m.LINE_ID, F.lit(name).alias("outcome"))
+        for name in ("duplicates", "review", "rejects")
+    ]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
 # --- table maintenance -----------------------------------------------------------------------
 
 
