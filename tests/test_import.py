@@ -113,8 +113,8 @@ def categories(df):
 def test_rules_inline_and_by_join_agree(spark):
     rules = spark.createDataFrame(RULES, RULE)
     # 'UBER EATS' sorts before 'uber', so it wins among equal priorities
+    assert categories(categorise(texts(spark), rules, inline=True)) == EXPECTED
     assert categories(categorise(texts(spark), rules)) == EXPECTED
-    assert categories(categorise(texts(spark), rules, max_inline_rules=0)) == EXPECTED
 
 
 def test_rule_join_equals_brute_force(spark):
@@ -124,15 +124,26 @@ def test_rule_join_equals_brute_force(spark):
     def best(text):
         hits = [(-p, k, c) for k, c, p in rules if k.upper() in text.upper()]
         return min(hits)[2] if hits else None
-    df = categorise(texts(spark, sample), spark.createDataFrame(rules, RULE), max_inline_rules=0)
+    df = categorise(texts(spark, sample), spark.createDataFrame(rules, RULE))
     assert categories(df) == {t: best(t) for t in sample}
 
 
 def test_empty_keyword_matches_everything_and_no_rules_nothing(spark):
     every = spark.createDataFrame([("", "any", 0)], RULE)
-    for limit in (0, 10):
-        assert categories(categorise(texts(spark, ["x", ""]), every, max_inline_rules=limit)) == {"x": "any", "": "any"}
-        assert categories(categorise(texts(spark, ["x"]), every.limit(0), max_inline_rules=limit)) == {"x": None}
+    for inline in (False, True):
+        assert categories(categorise(texts(spark, ["x", ""]), every, inline=inline)) == {"x": "any", "": "any"}
+        assert categories(categorise(texts(spark, ["x"]), every.limit(0), inline=inline)) == {"x": None}
+
+
+def test_any_number_of_long_keywords_with_equal_starts(spark):
+    words = [f"{a}{b}{c}{d}" for a in ("alpha", "alpine") for b in "xyz" for c in "uvw" for d in range(12)]
+    df = texts(spark, [f"to {w} and {v}" for w, v in zip(words, words[7:])])
+    for n in (3, 200, 201):
+        rules = spark.createDataFrame([(w, w, 1) for w in words[:n]], RULE)
+        got = categories(categorise(df, rules))
+        assert got == {t: min((w for w in words[:n] if w in t), default=None) for t in got}
+    joined = match_rules(df, spark.createDataFrame([(w, w, 1) for w in words], RULE), "raw_description")
+    assert joined.count() == df.count()
 
 
 def test_rules_per_ledger(spark):
@@ -278,10 +289,10 @@ def test_breakdowns_are_reconciled_and_expanded(spark, dims):
     assert rows(warnings, "label", "category") == [("EVERYDAY", "Boats")]
 
 
-@pytest.mark.parametrize("limit", [0, 200])
-def test_rules_have_one_meaning_inline_and_by_join(spark, limit):
+@pytest.mark.parametrize("inline", [False, True])
+def test_rules_have_one_meaning_inline_and_by_join(spark, inline):
     rules = spark.createDataFrame(
         [("shop", None, 90), ("shop", "b", 50), ("shop", "a", 50), ("sho", "weak", None)], RULE
     )
-    df = categorise(texts(spark, ["a shop", "shore"]), rules, max_inline_rules=limit)
+    df = categorise(texts(spark, ["a shop", "shore"]), rules, inline=inline)
     assert categories(df) == {"a shop": "a", "shore": "weak"}

@@ -601,6 +601,7 @@ def _import(spark, sf):
         m.statement_ledger(spark, sf),
         "20020101_bank",
         m.LINE_ID,
+        inline_rules=True,
     )
 
 
@@ -642,7 +643,7 @@ def imported_ledger_rows(spark, sf):
 @query
 def categorised_lines(spark, sf):
     """Category of every line by a short rule list."""
-    return op.categorise(m.line_ledger(spark, sf).drop("category_id"), m.rules(spark), "description").select(
+    return op.categorise(m.line_ledger(spark, sf).drop("category_id"), m.rules(spark), "description", inline=True).select(
         "id", "description", "category_id"
     )
 
@@ -651,7 +652,7 @@ def categorised_lines(spark, sf):
 def categorised_lines_by_join(spark, sf):
     """The same through the rule join that long rule lists take."""
     return op.categorise(
-        m.line_ledger(spark, sf).drop("category_id"), m.rules(spark), "description", max_inline_rules=0
+        m.line_ledger(spark, sf).drop("category_id"), m.rules(spark), "description"
     ).select("id", "description", "category_id")
 
 
@@ -666,7 +667,6 @@ def categorised_documents(spark, sf):
             F.length("text").alias("priority"),
         ),
         "text",
-        max_inline_rules=0,
     ).select("doc_id", "category_id")
 
 
@@ -707,6 +707,7 @@ def _streamed(spark, sf, runs: int) -> str:
             schema=lines.schema,
             row_id=m.LINE_ID,
             max_files_per_trigger=4,
+            inline_rules=True,
         ).awaitTermination()
     return base
 
