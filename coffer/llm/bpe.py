@@ -1,10 +1,9 @@
 """Byte-level BPE encoding and decoding with a given rank file.
 
-All texts are split by the tokenizer's pattern and their distinct words counted. Spark's
-higher-order functions fold ranked merges over the byte arrays of the frequent words, by a literal
-rank map; texts are then sequences of known words. Words too rare for the bounded dictionary, or
-too long for the fold, are merged by the same rule where they occur; README gives the figures.
-Decoding is built in: ids become the hex digits of their pieces, which are concatenated.
+Encoding splits a text by the tokenizer's pattern and folds ranked merges over the byte array of
+each distinct word of a task, remembered while the task lasts; texts are then sequences of
+remembered words. Decoding is built in: ids become the hex digits of their pieces, which are
+concatenated. README gives the figures that rule out folding with Spark's higher-order functions.
 """
 
 from __future__ import annotations
@@ -14,8 +13,6 @@ import heapq
 import json
 import zlib
 from array import array
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coffer.llm.common import cut
-
-#: most words folded once for all tasks and broadcast, about 200 bytes each in a worker
-DICTIONARY = 200_000
-#: bytes of a word up to which it is folded by higher-order functions, whose work is cubic in it
-FOLDED_BYTES = 32
-#: further words a task remembers, as large; then it starts afresh
-REMEMBERED = 200_000
-#: distinct words a counting task holds before it passes them on
-_HELD = 1_000_000
+#: words a task remembers, about 200 bytes each; then it starts afresh
+REMEMBERED = 300_000
 _LONG_WORD = 64
 
 
@@ -90,77 +79,30 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-def count_words(texts: DataFrame, pattern: str) -> DataFrame:
-    """(word, n): how often each distinct word occurs in the only column of ``texts``. Tasks count
-    before the exchange. Null texts have no words."""
-
-    def run(batches):
-        find, held = regex.compile(pattern).findall, Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                held.update(find(value or ""))
-                if len(held) > _HELD:
-                    yield out()
-                    held.clear()
-        yield out()
-
-    return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def dictionary(texts: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = DICTIONARY) -> dict[str, tuple[int, ...]]:
-    """Token ids of the frequent words of ``texts``, folded by Spark: all words that occur at
-    least 2^e times, for the least e that leaves no more than ``size`` words of foldable length.
-    The choice bears on speed only, never on a token."""
-    words = count_words(texts, pattern).where(F.octet_length("word").between(1, FOLDED_BYTES))
-    words = cut(words.select("word", F.floor(F.log2("n") + 1e-9).cast("int").alias("e")), "words")
-    sizes = {r["e"]: r["count"] for r in words.groupBy("e").count().collect()}  # 63 rows at most
-    least, total = 64, 0
-    for e in sorted(sizes, reverse=True):
-        total += sizes[e]
-        if total > size:
-            break
-        least = e
-    if least == 64:
-        return {}
-    folded = cut(fold_words(words.where(F.col("e") >= least).select("word"), ranks), "folded")
-    rows = folded.toArrow()
-    return dict(zip(rows.column("word").to_pylist(), map(tuple, rows.column("tokens").to_pylist())))
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", name: str = "tokens", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: all columns of ``docs``) and the text's token ids (array<int>).
 
     Whole texts, without special tokens. A null text counts as empty and has no tokens; a column
     called ``name`` is replaced; repeated rows are encoded alike. ``ranks`` must hold all single
-    bytes. ``docs`` is read twice: for its words, and to be encoded.
+    bytes.
     """
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("the ranks lack single bytes")
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
     kept = [c for c in (keep or docs.columns) if c != name]
-    frequent = dictionary(docs.select(F.col(text).alias("text")), ranks, pattern)
-    given = docs.sparkSession.sparkContext.broadcast((ranks, frequent))
 
     def run(batches):
-        ranks, frequent = given.value
-        find = regex.compile(pattern).findall
-
-        class Words(dict):  # looked up without a Python call for each known word
-            def __missing__(self, word):
-                if len(self) >= len(frequent) + REMEMBERED:
-                    self.clear()
-                    self.update(frequent)
-                own = self[word] = tuple(merge(word.encode(), ranks))
-                return own
-
-        known = Words(frequent)
+        ranks, known, find = shared.value, {}, regex.compile(pattern).findall
         for batch in batches:
             ids, ends = array("i"), [0]
             for value in batch.column(len(kept)).to_pylist():
-                ids.extend(chain.from_iterable(map(known.__getitem__, find(value or ""))))
+                for word in find(value or ""):
+                    own = known.get(word)
+                    if own is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        own = known[word] = tuple(merge(word.encode(), ranks))
+                    ids.extend(own)
                 ends.append(len(ids))
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], [*kept, name])
