@@ -25,14 +25,20 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def one_pass(df: DataFrame, table: str, tests: Mapping[tuple[str, str], Column]) -> DataFrame:
+def one_pass(
+    df: DataFrame,
+    table: str,
+    tests: Mapping[tuple[str, str], Column],
+    totals: Mapping[tuple[str, str], Column] | None = None,
+) -> DataFrame:
     """Any number of row tests in one scan. ``tests``: (check, column) to a condition that is
-    true for a violating row."""
-    counts = df.agg(*[F.count_if(bad).alias(f"_{i}") for i, bad in enumerate(tests.values())])
+    true for a violating row; ``totals``: to an aggregate that is the number of violations."""
+    found = {**{name: F.count_if(bad) for name, bad in tests.items()}, **(totals or {})}
+    counts = df.agg(*[total.alias(f"_{i}") for i, total in enumerate(found.values())])
     rows = F.array(
         *[
             F.struct(*_row(check, table, column, F.col(f"_{i}")))
-            for i, (check, column) in enumerate(tests)
+            for i, (check, column) in enumerate(found)
         ]
     )
     return counts.select(F.inline(rows))
@@ -184,6 +190,8 @@ class TableRules:
     )
     row_count: int | None = None
     not_empty: bool = False
+    # tables with as many rows
+    parity: Sequence[str] = ()
 
 
 def quality_report(
@@ -191,7 +199,8 @@ def quality_report(
 ) -> DataFrame:
     """All checks of all tables, one row each: check, table, column, violations.
 
-    Row tests of a table share one scan; uniqueness and relationships take an aggregation each.
+    Row tests and counts of a table share one scan; uniqueness and relationships take an
+    aggregation each.
     """
     parts: list[DataFrame] = []
     for name, r in rules.items():
@@ -201,8 +210,13 @@ def quality_report(
             **accepted_tests(r.accepted),
             **rule_tests(r.checks),
         }
-        if tests:
-            parts.append(one_pass(df, name, tests))
+        totals = {}
+        if r.row_count is not None:
+            totals["row_count", f"= {r.row_count}"] = F.abs(F.count("*") - F.lit(r.row_count))
+        if r.not_empty:
+            totals["not_empty", "*"] = (F.count("*") == 0).cast("bigint")
+        if tests or totals:
+            parts.append(one_pass(df, name, tests, totals))
         parts += [check_unique(df, name, columns) for columns in r.unique]
         parts += [
             check_unique(df, name, columns, where).withColumn("column", F.lit(label))
@@ -212,8 +226,5 @@ def quality_report(
             check_relationship(df, name, columns, tables[parent], parent_columns)
             for columns, (parent, parent_columns) in r.relationships.items()
         ]
-        if r.row_count is not None:
-            parts.append(check_count(df, name, r.row_count))
-        if r.not_empty:
-            parts.append(check_not_empty(df, name))
+        parts += [check_row_parity(f"{name}, {other}", df, tables[other]) for other in r.parity]
     return union_all(parts)

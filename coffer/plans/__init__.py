@@ -9,7 +9,7 @@ from coffer.plans.marts import (
     write_marts,
 )
 from coffer.plans.migration import unify_budgets
-from coffer.plans.quality_rules import ledger_rules
+from coffer.plans.quality_rules import ledger_rules, migration_preflight
 from coffer.plans.reports import (
     budget_status,
     categories_by_type,

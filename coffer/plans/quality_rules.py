@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from coffer.functions import fixed_values as fv
 from coffer.keys import KEYS, key_list, shared
-from coffer.operators.quality import TableRules
+from coffer.operators.quality import (
+    TableRules,
+    check_relationship,
+    check_unique,
+    not_null_tests,
+    one_pass,
+    same_tests,
+    union_all,
+)
 from coffer.operators.validation import (
     budget_rules,
     goal_rules,
@@ -116,6 +124,7 @@ def ledger_rules(
             not_null=["pay_date", "source"],
             unique=[key("pay_dates", "pay_date")],
             checks=_checks(pay_date_rules(tables["pay_dates"])),
+            parity=[p for p in ("v_pay_periods",) if p in tables],
         )
 
     def v_pay_periods():
@@ -165,3 +174,59 @@ def ledger_rules(
         fct_monthly_summary, fct_savings_rate, fct_budget_vs_actual, fct_expense_group_summary,
     ]
     return {rule.__name__: rule() for rule in known if rule.__name__ in tables}
+
+
+def migration_preflight(
+    categories: DataFrame,
+    groups: DataFrame,
+    monthly: DataFrame,
+    group_monthly: DataFrame,
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """What has to hold before :func:`unify_budgets`: rows of check, table, column, violations.
+
+    Each ledger has exactly the known groups, once each, and the categories that the seeded
+    merchant rules need (violations: ledgers that differ; an empty table counts as one); categories
+    have a group and its type; a category or group has one monthly budget. A table without the
+    ledgers' keys is one ledger.
+    """
+    keys = key_list(keys)
+
+    def names(df: DataFrame, table: str, wanted: Sequence[str], only: bool) -> DataFrame:
+        named = F.col("name").isin(*wanted)
+        by_ledger = df.groupBy(*shared(keys, df)).agg(
+            F.count_if(named).alias("rows"),
+            F.count_distinct(F.when(named, F.col("name"))).alias("names"),
+            F.count_if(~F.coalesce(named, F.lit(False))).alias("others"),
+        )
+        n = F.lit(len(wanted))
+        bad = (F.col("rows") != n) | (F.col("names") != n)
+        if only:
+            bad = bad | (F.col("others") > 0)
+        missing = F.when(F.count("*") == 0, 1).otherwise(F.count_if(bad))
+        return one_pass(by_ledger, table, {}, {("names", "name"): missing})
+
+    needed = sorted({category for _, category, _ in fv.MERCHANT_RULES})
+    both = [k for k in shared(keys, categories) if k in groups.columns]
+    group_types = groups.groupBy(*both, F.col("id").alias("expense_group_id")).agg(
+        F.min("type").alias("group_type")
+    )
+    typed = categories.select(*both, "expense_group_id", "type").join(
+        group_types, [*both, "expense_group_id"]
+    )
+    of_group, group_id = (*both, "expense_group_id"), (*both, "id")
+    return union_all(
+        [
+            names(groups, "expense_groups", fv.TYPE_NAMES, only=True),
+            names(categories, "categories", needed, only=False),
+            one_pass(categories, "categories", not_null_tests(["expense_group_id"])),
+            check_relationship(categories, "categories", of_group, groups, group_id),
+            one_pass(typed, "categories", same_tests([("type", "group_type")])),
+            check_unique(monthly, "monthly_budgets", [*shared(keys, monthly), "category_id"]),
+            check_unique(
+                group_monthly,
+                "monthly_group_budgets",
+                [*shared(keys, group_monthly), "expense_group_id"],
+            ),
+        ]
+    )

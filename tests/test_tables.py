@@ -220,3 +220,40 @@ def test_upsert_keeps_columns_that_are_not_given(spark):
     new = spark.createDataFrame([("coles", 9, None), ("aldi", 1, "n")], "keyword string, priority int, note string")
     got = upsert(target, new, ["keyword"])
     assert rows(got, "id", "keyword", "priority", "note") == [(1, "coles", 9, None), (None, "aldi", 1, "n")]
+
+
+def test_migration_preflight_counts_every_broken_rule(spark):
+    needed = ["Groceries", "Health", "Phone & Internet", "Shopping", "Subscriptions", "Transport", "Utilities"]
+    kinds = ["fixed", "variable", "income", "saving"]
+    group = "account_id int, id int, name string, type string"
+    cat = "account_id int, name string, expense_group_id int, type string"
+    groups = [(a, i, n, n) for a in (1, 2) for i, n in enumerate(kinds)]
+    cats = [(a, n, 0, "fixed") for a in (1, 2) for n in needed]
+    def failing(groups, cats, monthly, shared):
+        report = plans.migration_preflight(
+            spark.createDataFrame(cats, cat), spark.createDataFrame(groups, group),
+            spark.createDataFrame(monthly, "account_id int, category_id int"), spark.createDataFrame(shared, "account_id int, expense_group_id int"),
+        )
+        assert report.count() == 7
+        return rows(report.where("violations > 0"), "check", "table", "column", "violations")
+    assert failing(groups, cats, [(1, 1), (2, 1)], [(1, 1), (2, 1)]) == []
+    bad_groups = [*groups, (2, 9, "fixed", "fixed"), (1, 8, None, None)]
+    bad_cats = [*cats[1:], (2, "Rent", None, "fixed"), (2, "Gym", 7, None), (1, "Car", 1, None)]
+    assert failing(bad_groups, bad_cats, [(1, 1), (1, 1)], [(2, 3), (2, 3), (1, 3)]) == [
+        ("names", "categories", "name", 1),
+        ("names", "expense_groups", "name", 2),
+        ("not_null", "categories", "expense_group_id", 1),
+        ("relationship", "categories", "account_id, expense_group_id", 1),
+        ("same", "categories", "type = group_type", 1),
+        ("unique", "monthly_budgets", "account_id, category_id", 1),
+        ("unique", "monthly_group_budgets", "account_id, expense_group_id", 1),
+    ]
+    assert failing([], [], [], []) == [("names", "categories", "name", 1), ("names", "expense_groups", "name", 1)]
+
+
+def test_quality_report_compares_pay_dates_with_periods(spark):
+    paid = pay_dates(spark, ["2026-01-01", "2026-02-01"]).withColumn("source", F.lit("auto"))
+    periods = spark.createDataFrame([("2026-01-01", "2026-01-31")], "period_start string, period_end string")
+    tables = {"pay_dates": paid, "v_pay_periods": periods}
+    report = quality_report(tables, plans.ledger_rules(tables))
+    assert rows(report.where("violations > 0"), "check", "table", "violations") == [("row_parity", "pay_dates, v_pay_periods", 1)]
