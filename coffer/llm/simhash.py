@@ -8,7 +8,6 @@ of 64 bits for r = 1), so no group is larger than that however many copies there
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -97,77 +96,108 @@ def groups(prints: DataFrame, doc_id: str = "doc_id", name: str = "fingerprint",
     return prints.drop(component).join(by_print, F.col(name) == F.col("__print"), "left").drop("__print")
 
 
-#: near duplicates by similarity: tables of 32 bits for candidates, 256 bits to verify them
-TABLES, TABLE_BITS, CHECK_BITS = 8, 32, 256
+#: near duplicates by similarity: bands of least hashes for candidates, and rounds of centres
+BANDS, BAND_ROWS, ROUNDS = 20, 5, 3
+_SALTS = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
 
 
-def wide_bits(ws: list[bytes], shingle: int) -> np.ndarray:
-    """SimHash of 256 bits of the words' shingles, repeats included."""
+def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word shingles (words as in ``fingerprint``)."""
+    ws = raw.lower().split()
     n = max(1, len(ws) - shingle + 1) if ws else 0
-    parts = [b" ".join(ws[i : i + shingle]) for i in range(n)]
-    ones = np.zeros(CHECK_BITS, np.int64)
-    for at in range(0, n, 1 << 16):  # bounded memory for very long texts
-        digests = b"".join([xxhash.xxh3_128_digest(p, seed) for p in parts[at : at + (1 << 16)] for seed in (0, 1)])
-        rows = np.frombuffer(digests, np.uint8).reshape(-1, CHECK_BITS // 8)
-        ones += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > n)
+    parts = {b" ".join(ws[i : i + shingle]) for i in range(n)}
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)))
+
 
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band of least hashes and one for each two bands; none for the empty set.
 
-def _wide(docs: DataFrame, text: str, find_words: int, shingle: int) -> DataFrame:
-    """``docs`` without the text, with ``tables`` (8 numbers of 32 bits) and ``check`` (4 of 64)."""
-    kept = [c for c in docs.columns if c != text]
+    Sets of similarity J have an equal band with probability J ** BAND_ROWS, whatever the kind of
+    edit between them.
+    """
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):  # bounded memory for very long texts
+        own = hashes[at : at + (1 << 12), None] * (_SALTS[0] | np.uint64(1)) + _SALTS[1]
+        least = np.minimum(least, own.min(axis=0))
+    bands = [row.tobytes() for row in least.reshape(BANDS, BAND_ROWS)]
+    keys = [xxhash.xxh3_64_intdigest(b, t) for t, b in enumerate(bands)]
+    keys += [xxhash.xxh3_64_intdigest(b + bands[t - 1], BANDS + t) for t, b in enumerate(bands)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``docs`` without the text, with ``group`` (hash of the shingle set) and, where a task meets
+    a group first, its ``keys`` and ``shingles``; null elsewhere."""
+    kept = [c for c in docs.columns if c not in (text, "group")]
 
     def run(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(len(kept)))
-            data, n = data.tobytes(), batch.num_rows
-            tables, check = np.zeros((n, TABLES), np.int64), np.zeros((n, 4), np.int64)
-            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                ws = data[a:b].lower().split()
-                tables[i] = wide_bits(ws, find_words).view(np.uint32)
-                check[i] = wide_bits(ws, shingle).view(np.int64)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (tables, check)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], [*kept, "tables", "check"])
+        seen = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                data, offsets = utf8(batch.column(len(kept)))
+                data = data.tobytes()
+                groups, keys, shingles = [], [], []
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    hashes = shingle_set(data[a:b], shingle)
+                    groups.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+                    new = groups[-1] not in seen
+                    seen.add(groups[-1])
+                    keys.append(band_keys(hashes) if new else None)
+                    shingles.append(hashes.view(np.int64) if new else None)
+                made = [pa.array(np.array(groups, np.uint64).view(np.int64)), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, shingles))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*kept, "group", "keys", "shingles"])
 
     empty = F.array().cast("array<bigint>")
-    schema = docs.select(*kept, empty.alias("tables"), empty.alias("check")).schema
+    schema = docs.select(*kept, F.lit(0).cast("bigint").alias("group"), empty.alias("keys"), empty.alias("shingles")).schema
+    for field in schema:
+        field.nullable = True
     return docs.select(*kept, F.col(text)).mapInArrow(run, schema)
 
 
-def similar_groups(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, find_words: int = 2, slack: float = 0.05) -> DataFrame:
+def similar_groups(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the text and with ``group``: equal for documents connected by a similarity
-    of their ``shingle``-word shingle sets of at least ``similarity``.
-
-    Candidates meet in one of eight 32-bit fingerprints of ``find_words``-word shingles that
-    differ in at most two bits (ball hashing, half radius one); shorter shingles are used there
-    because a changed word touches fewer of them. 256 bits of the ``shingle``-word fingerprint
-    verify them: the similarity estimated from the bits must reach ``similarity - slack``. Texts
-    with equal fingerprints are one node. In each table equal values are linked to a member that
-    the table's own hash picks, values within two bits through the least variant, so groups of
-    any size emit links in proportion to their members.
+    (Jaccard) of their sets of ``shingle``-word shingles of at least ``similarity``.
+
+    Candidates have an equal band of least hashes of these shingles: at 0.8 with probability
+    0.9996. Every link is verified on the whole shingle sets (as 64-bit hashes). Equal sets are
+    one node. Nodes of a band are compared with a centre instead of with each other, so a band of
+    any size gives candidates in proportion to its nodes. As nodes may be similar to each other
+    and not to the centre, bands whose nodes are not yet connected get other centres in further
+    rounds, and keys of two bands divide large bands into smaller ones.
     """
-    prints = cut(_wide(docs, text, find_words, shingle).withColumn("group", F.xxhash64("tables", "check")), "fingerprints")
-    nodes = cut(prints.select(F.col("group").alias("node"), "tables", "check").dropDuplicates(["node"]), "nodes")
-    rows = nodes.select("node", F.posexplode("tables").alias("t", "value"))
-    pick = F.struct(F.xxhash64("node", "t").alias("order"), F.col("node"))
-    values = cut(rows.groupBy("t", "value").agg(F.min(pick)["node"].alias("centre"), F.count("*").alias("n")), "values")
-    same = rows.join(values.where("n > 1"), ["t", "value"]).select(F.col("centre").alias("left"), F.col("node").alias("right"))
-    masks = F.array(*[F.lit(m).cast("bigint") for m in [0, *(1 << b for b in range(TABLE_BITS))]])
-    near = values.select(
-        "centre", F.explode(F.transform(masks, lambda m: F.shiftleft("t", TABLE_BITS).cast("bigint").bitwiseOR(F.col("value").bitwiseXOR(m)))).alias("variant")
-    )
-    centre = F.min("centre").over(W.partitionBy("variant"))
-    near = near.select(centre.alias("left"), F.col("centre").alias("right"))
-    pairs = same.unionByName(near).where("left != right").distinct()
-    check = nodes.select("node", "check")
-    pairs = pairs.join(check.select(F.col("node").alias("left"), F.col("check").alias("a")), "left")
-    pairs = pairs.join(check.select(F.col("node").alias("right"), F.col("check").alias("b")), "right")
-    # J shared of the union makes a cosine of 2J / (1 + J), and an angle of pi x differing share
-    least = similarity - slack
-    bits = math.floor(CHECK_BITS * math.acos(2 * least / (1 + least)) / math.pi)
-    apart = F.aggregate(F.arrays_zip("a", "b"), F.lit(0), lambda n, x: n + F.bit_count(x["a"].bitwiseXOR(x["b"])).cast("int"))
-    found = components(pairs.where(apart <= bits).select("left", "right"), "left", "right")
-    grouped = prints.join(found, F.col("group") == F.col("node"), "left")
+    prints = cut(_sets(docs, text, shingle), "fingerprints")
+    rows = prints.select(F.col("group").alias("node"), "keys").where("keys is not null").dropDuplicates(["node"])
+    rows = cut(rows.select("node", F.explode("keys").alias("key")), "bands")
+    shared_keys = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = cut(rows.join(shared_keys, "key"), "met")
+    wanted = met.select(F.col("node").alias("group")).distinct()
+    sets = prints.where("shingles is not null").select("group", "shingles").join(wanted, "group", "left_semi")
+    sets = cut(sets.dropDuplicates(["group"]), "sets")
+    edges, found = None, None
+    for turn in range(ROUNDS):
+        named = met.withColumn("component", F.col("node"))
+        if found is not None:
+            known = found.select("node", F.col("component").alias("known"))
+            named = met.join(known, "node", "left").select("key", "node", F.coalesce("known", "node").alias("component"))
+        pick = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node"), F.col("component"))
+        centres = named.groupBy("key").agg(F.min(pick).alias("centre"), F.min("component").alias("a"), F.max("component").alias("b"))
+        centres = centres.where("a != b").select("key", "centre")
+        pairs = named.join(centres, "key").where(F.col("component") != F.col("centre.component"))
+        ends = [F.col("centre.node"), F.col("node")]
+        pairs = cut(pairs.select(F.least(*ends).alias("left"), F.greatest(*ends).alias("right")).distinct(), "pairs")
+        links = pairs.join(sets.select(F.col("group").alias("left"), F.col("shingles").alias("a")), "left")
+        links = links.join(sets.select(F.col("group").alias("right"), F.col("shingles").alias("b")), "right")
+        links = links.withColumn("both", F.size(F.array_intersect("a", "b")))
+        alike = F.col("both") / (F.size("a") + F.size("b") - F.col("both")) >= similarity
+        links = cut(links.where(alike).select("left", "right"), "links")
+        edges = links if edges is None else edges.unionByName(links)
+        if found is not None and links.isEmpty():
+            break
+        found = components(edges, "left", "right")
+    grouped = prints.drop("keys", "shingles").join(found, F.col("group") == F.col("node"), "left")
     own = [c for c in docs.columns if c not in (text, "group")]
     return grouped.select(*own, F.coalesce("component", "group").alias("group"))
 

@@ -313,6 +313,40 @@ def test_one_of_similar_documents_is_kept(spark, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def shingles_of(text, n=5):
+    ws = text.lower().split()
+    return {" ".join(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))}
+
+
+def alike(a, b):
+    a, b = shingles_of(a), shingles_of(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_are_verified_on_whole_shingle_sets(spark):
+    rng = random.Random(3)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line, passage = " " + own(8), own(200)
+    texts = [own(60) + line * 40 for _ in range(100)]  # a repeated line
+    texts += [f"{own(rng.randrange(20, 31))} {passage} {own(rng.randrange(20, 31))}" for _ in range(150)]  # a shared passage
+    base = own(120)
+    texts += [base, base + " " + own(8), own(8) + " " + base]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(texts[i], texts[j]) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {find(i) for i in range(len(texts))}
+    assert len({find(i) for i in range(len(texts))}) == 251
+
+
 # --- 8 ---------------------------------------------------------------------------------------
 
 
