@@ -347,6 +347,34 @@ def test_near_duplicates_are_verified_on_whole_shingle_sets(spark):
     assert len({find(i) for i in range(len(texts))}) == 251
 
 
+#: kinds of edit: words replaced here and there, a block appended, a block cut from the front
+def edited(words, kind, share, rng):
+    n = round(len(words) * share)
+    new = [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    if kind == "scattered":
+        out = list(words)
+        for at, w in zip(rng.sample(range(len(words)), n // 10), new):
+            out[at] = w
+        return out
+    return words + new if kind == "appended" else words[n:]
+
+
+@pytest.mark.parametrize("kind", ["scattered", "appended", "cut"])
+def test_near_duplicates_at_the_limit_are_found_for_every_kind_of_edit(spark, kind):
+    rng = random.Random(kind)
+    rows, pairs = [], []
+    for i in range(400):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        a, b = " ".join(words), " ".join(edited(words, kind, rng.uniform(0.15, 0.25), rng))
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        if 0.8 <= alike(a, b) < 0.87:
+            pairs.append((2 * i, 2 * i + 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    group = {r.doc_id: r.group for r in simhash.similar_groups(docs).collect()}
+    assert len(pairs) > 50
+    assert sum(group[a] == group[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
 # --- 8 ---------------------------------------------------------------------------------------
 
 
