@@ -4,7 +4,8 @@ N-grams of all trusted texts are counted in the tasks and summed by n-gram. Lowe
 distinct predecessors. Discounts come from the counts of counts of each language and order. Counts,
 context totals and shorter n-grams are joined by n-gram or context, so the model is built sharded.
 Documents are scored shard by shard of that model, in bounded pieces, and judged by their bits per
-byte against quantiles of trusted texts the model has not seen, language by language.
+byte, and by how much these exceed those of a second model of texts labelled bad or toxic, against
+quantiles of trusted texts the models have not seen.
 
 N-grams are over bytes because their number follows the writing systems and not the vocabulary.
 """
@@ -298,15 +299,60 @@ def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quali
     )
 
 
+def bad_ids(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality", toxic: str = "toxic") -> DataFrame:
+    """Ids any of whose labels says bad quality or toxic."""
+    bad = (F.col(quality) == 0) | (F.col(toxic) == 1)
+    return labels.where(F.col(doc_id).isNotNull() & bad).select(F.col(doc_id).alias("id")).distinct()
+
+
 def trusted_texts(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(id, lang, text) of documents with a trusted id."""
+    """(id, lang, text) of documents with one of the ids."""
     ids = cut(ids, "trusted")
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     small = ids.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
 
-_MADE = ("n_bytes", "bits", "bits_per_byte", "perplexity", "most", "accepted")
+_MADE = ("n_bytes", "bits", "bits_per_byte", "perplexity", "most", "bad_bytes", "bad_bits", "excess", "most_excess", "accepted")
+
+#: bytes at which length classes end; the shorter a text, the more its rates vary
+LENGTHS = (64, 256, 1024)
+#: held-out texts of a length class below which a quantile of 0.99 cannot be told
+FEW = 100
+#: bad texts of a language from which the second model learns it; of fewer it mostly knows those
+BAD_TEXTS = 20
+
+
+def _length_class():
+    out = F.lit(len(LENGTHS))
+    for i in reversed(range(len(LENGTHS))):
+        out = F.when(F.col("n_bytes") < LENGTHS[i], F.lit(i)).otherwise(out)
+    return out
+
+
+def _limit(held: DataFrame, lang: str, value, quantile: float):
+    """The limit of ``value`` for a row by its language and length class, from ``held`` (lang,
+    n_bytes and what ``value`` needs): the language's median plus the class's quantile of the
+    distances from the medians. Classes of few texts get twice that; no class less than a longer
+    one. Null for a language that is not held."""
+    rows = held.select("lang", _length_class().alias("class"), value.alias("value")).where("value is not null")
+    medians = {r["lang"]: r["m"] for r in rows.groupBy("lang").agg(F.percentile_approx("value", 0.5, 10_000).alias("m")).collect()}
+
+    def middle(column):
+        out = F.lit(None).cast("double")
+        for own, m in medians.items():  # one for each language
+            out = F.when(F.col(column) == own, m).otherwise(out)
+        return out
+
+    apart = F.percentile_approx(F.col("value") - middle("lang"), quantile, 10_000)
+    found = {r["class"]: r for r in rows.groupBy("class").agg(apart.alias("q"), F.count("*").alias("n")).collect()}
+    own = {c: r["q"] * (2 if r["n"] < FEW and r["q"] > 0 else 1) for c, r in found.items()}
+    limit = F.lit(None).cast("double")
+    for c in range(len(LENGTHS) + 1):
+        longer = [q for k, q in own.items() if k >= c] or list(own.values())
+        if longer:
+            limit = F.when(_length_class() == c, max(longer)).otherwise(limit)
+    return middle(lang) + limit
 
 
 def judge(
@@ -316,35 +362,45 @@ def judge(
     text: str = "text",
     lang: str = "lang",
     order: int = ORDER,
-    margin_bits: float = 1.0,
+    quantile: float = 0.99,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """``keep`` (default: all columns) with ``n_bytes``, ``bits_per_byte``, ``perplexity``,
-    ``most`` and ``accepted``.
-
-    Four fifths of the trusted texts (by id) train the model, the others give the thresholds: with
-    quantiles q of their bits per byte, a text is rejected above ``most`` = q99 + max(margin_bits,
-    2 (q99 - q50)) of its language. The margin keeps short clean texts, whose rates vary more. Texts without bytes, languages without a model or
-    threshold and null languages are accepted, as nothing speaks against them. Repeated rows are
-    judged alike; with an empty label table all is accepted.
+    ``most``, ``excess``, ``most_excess`` and ``accepted``.
+
+    One model is trained on four fifths of the trusted texts (by id), a second on four fifths of
+    those labelled bad or toxic, in languages with at least ``BAD_TEXTS`` of them. ``excess`` is the bits per byte under the first less those under
+    the second. A text is rejected if its bits per byte are above ``most`` or its excess above
+    ``most_excess``: the ``quantile`` of trusted texts neither model has seen, by language and
+    length class (see ``_limit``). Texts without bytes, languages without a model or limit and
+    null languages are accepted, as nothing speaks against them; without a second model (of
+    the language) only the first limit counts. Repeated rows are judged alike; with an empty label
+    table all is accepted. Cheap texts are not rejected for being cheap: trusted texts of the
+    model's own training are cheap as well.
     """
     keep = [c for c in (keep or docs.columns) if c not in _MADE]
-    texts = trusted_texts(docs, trusted_ids(labels), doc_id, text, lang)
     held_out = F.coalesce(bucket_of(F.col("id"), 5) == 0, F.lit(False))
-    model = build(texts.where(~held_out).select("lang", "text"), order)
-    rate = F.try_divide(F.col("bits"), F.col("n_bytes").cast("double"))
-    held = score(texts.where(held_out), model, "text", "lang", keep=["lang"]).where("n_bytes > 0 and bits is not null")
-    q = held.groupBy("lang").agg(F.percentile_approx(rate, [0.5, 0.99], 10_000).alias("q")).collect()
-    most = F.lit(None).cast("double")
-    for r in q:  # one row for each language
-        mid, high = r["q"]
-        most = F.when(F.col(lang) == r["lang"], high + max(margin_bits, 2 * (high - mid))).otherwise(most)
-    scored = score(docs, model, text, lang, keep=[*keep, *([] if lang in keep else [lang])])
-    scored = scored.withColumn("bits_per_byte", F.round(rate, 6))
-    accepted = F.coalesce(F.col("bits_per_byte") <= F.col("most"), F.lit(True))
-    out = scored.withColumn("most", F.round(most, 6)).withColumn("accepted", accepted)
+    texts = trusted_texts(docs, trusted_ids(labels), doc_id, text, lang)
+    bad_texts = trusted_texts(docs, bad_ids(labels), doc_id, text, lang)
+    enough = bad_texts.where(~held_out).groupBy("lang").count().where(F.col("count") >= BAD_TEXTS)
+    bad_texts = bad_texts.where(F.col("lang").isin([r["lang"] for r in enough.collect()]))
+    models = [build(t.where(~held_out).select("lang", "text"), order) for t in (texts, bad_texts)]
+
+    def both(rows, text, lang, keep):
+        need = [*keep, *(c for c in (text, lang) if c not in keep)]
+        rows = score(rows, models[0], text, lang, keep=need)
+        return score(rows, models[1], text, lang, ("bad_bytes", "bad_bits"), keep=[*keep, *(c for c in [lang] if c not in keep), "n_bytes", "bits"])
+
+    rate = F.round(F.try_divide(F.col("bits"), F.col("n_bytes").cast("double")), 6)
+    excess = F.round(F.try_divide(F.col("bits") - F.col("bad_bits"), F.col("n_bytes").cast("double")), 6)
+    held = cut(both(texts.where(held_out), "text", "lang", ["lang"]).where("n_bytes > 0 and bits is not null"), "held")
+    most, most_excess = (_limit(held, lang, x, quantile) for x in (rate, excess))
+    scored = both(docs, text, lang, keep).withColumn("bits_per_byte", rate).withColumn("excess", excess)
+    scored = scored.withColumn("most", F.round(most, 6)).withColumn("most_excess", F.round(most_excess, 6))
+    within = [F.coalesce(F.col(x) <= F.col(y), F.lit(True)) for x, y in (("bits_per_byte", "most"), ("excess", "most_excess"))]
+    out = scored.withColumn("accepted", within[0] & within[1])
     out = out.withColumn("perplexity", F.round(F.pow(F.lit(2.0), F.col("bits_per_byte")), 6))
-    return out.select(*keep, "n_bytes", "bits_per_byte", "perplexity", "most", "accepted")
+    return out.select(*keep, "n_bytes", "bits_per_byte", "perplexity", "most", "excess", "most_excess", "accepted")
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -262,6 +262,18 @@ def test_quality_is_the_same_over_several_shards_and_keeps_clean_texts(spark, do
     assert np.mean([whole[k].accepted for k, q in good.items() if q == 1]) > 0.97
 
 
+def test_quality_rejects_labelled_junk_and_toxic_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = {r.doc_id: r.accepted for r in quality.judge(docs, labels, keep=["doc_id"]).collect()}
+    told: dict = {}
+    for r in labels.collect():  # only texts that trained no model
+        if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.doc_id in got:
+            told.setdefault((r.quality, r.toxic or 0), []).append(not got[r.doc_id])
+    assert np.mean(told[0, 0] + told[0, 1]) > 0.95 and np.mean(told[1, 1]) > 0.5
+    assert np.mean(told[1, 0]) < 0.02
+
+
 def test_quality_of_odd_rows(spark, odd, none, documents):
     labels = spark.createDataFrame([(3, 1, 0), (3, 1, None), (None, 1, 0), (4, None, 0)], "doc_id bigint, quality int, toxic int")
     clash = odd.withColumn("bits", F.lit("mine"))
