@@ -431,6 +431,17 @@ TRICKY = [
 ]
 
 
+def test_clean_rows_do_not_switch_the_network_off(spark):
+    rng = random.Random(9)
+    key = lambda: "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=20))
+    few = [f"see token={key()} in run number {i} of path_to_some_module_{i}" for i in range(40)]
+    docs = spark.createDataFrame([(t,) for t in few], "text string")
+    clean = spark.range(400_000).select(F.concat(F.lit("clean words "), F.col("id").cast("string")).alias("text"))
+    alone, among = secret_scan.fit(docs), secret_scan.fit(docs.unionByName(clean))
+    assert alone is not None and among is not None
+    assert alone.threshold == among.threshold and np.array_equal(alone.kernel, among.kernel)
+
+
 def test_base_spans_match_the_patterns(documents):
     for text in [*TRICKY, *(r.text for r in documents.collect())]:
         assert secret_scan.scan([text], None)[0] == brute_secrets(text or "")
