@@ -254,8 +254,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang",
     return out
 
 
-def _score(docs: DataFrame, part, text: str, lang: str, names: tuple[str, str], carried: list[str]) -> DataFrame:
-    had = names[1] in docs.columns
+def _scorer(had: bool, part, text: str, lang: str, names: tuple[str, str], carried: list[str]):
+    """Record batches to those of ``carried`` and ``names``; ``had``: bits are added to."""
 
     def run(batches):
         shard = shared(part)
@@ -282,6 +282,11 @@ def _score(docs: DataFrame, part, text: str, lang: str, names: tuple[str, str],
                 [*carried, *names],
             )
 
+    return run
+
+
+def _score(docs: DataFrame, part, text: str, lang: str, names: tuple[str, str], carried: list[str]) -> DataFrame:
+    run = _scorer(names[1] in docs.columns, part, text, lang, names, carried)
     schema = T.StructType(
         [*(docs.schema[c] for c in carried), T.StructField(names[0], T.LongType()), T.StructField(names[1], T.DoubleType())]
     )
@@ -388,6 +393,14 @@ def judge(
 
     def both(rows, text, lang, keep):
         need = [*keep, *(c for c in (text, lang) if c not in keep)]
+        if all(len(m.parts) <= 1 for m in models):  # one pass of one Python worker for both
+            parts = [share(rows.sparkSession, next(m.shards(), Shard(order, {}, {}))) for m in models]
+            first = _scorer(False, parts[0], text, lang, ("n_bytes", "bits"), need)
+            carried = [*keep, *(c for c in [lang] if c not in keep), "n_bytes", "bits"]
+            second = _scorer(False, parts[1], text, lang, ("bad_bytes", "bad_bits"), carried)
+            made = {"n_bytes": T.LongType(), "bits": T.DoubleType(), "bad_bytes": T.LongType(), "bad_bits": T.DoubleType()}
+            schema = T.StructType([*(rows.schema[c] for c in carried if c not in made), *(T.StructField(*x) for x in made.items())])
+            return rows.select(*need).mapInArrow(lambda batches: second(first(batches)), schema)
         rows = score(rows, models[0], text, lang, keep=need)
         return score(rows, models[1], text, lang, ("bad_bytes", "bad_bits"), keep=[*keep, *(c for c in [lang] if c not in keep), "n_bytes", "bits"])
 
