@@ -413,6 +413,11 @@ def test_shards_of_odd_rows_and_native_plan(spark, odd, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_the_documents_go_to_their_shards(spark):
+    plan = QUERIES["op8_histogram_shards"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("crc32(") < plan.index("Exchange")
+
+
 # --- 9 ---------------------------------------------------------------------------------------
 
 
