@@ -61,6 +61,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def texts(column: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of each row of a string column; nulls count as empty."""
+    data, offsets = utf8(column)
+    data = data.tobytes()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield data[a:b]
+
+
 def blocks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
     """(first row, end row, first byte, end byte) of runs of rows of about ``size`` bytes. A row
     longer than that comes alone, in several pieces."""

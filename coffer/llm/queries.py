@@ -14,11 +14,14 @@ from coffer.llm import (
     decontaminate,
     histogram_shards,
     language_id,
+    lexical_search,
     quality,
+    quality_rules,
     secret_scan,
     simhash,
     spherical_caps,
     url_filters,
+    whitening,
 )
 from coffer.llm.common import bucket_of, cut
 
@@ -211,3 +214,69 @@ def op9_secret_scan(spark, sf):
 def op10_spherical_caps(spark, sf):
     """Links of every vector at cosine 0.9 and the group it reaches."""
     return spherical_caps.link_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op11_lexical_search(spark, sf):
+    """The ten best documents for every benchmark item."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lexical_search.rank_documents(docs, table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+ORACLE["op11_lexical_search"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT row_number() OVER () AS item, * FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+t AS (SELECT DISTINCT item, unnest({_WORDS}) AS term FROM i),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM d) GROUP BY r, term),
+counts AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d WHERE len(ws) > 0),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM df, counts),
+lengths AS (SELECT r, doc_id, 100 - 90 + ((90 * len(ws) * n_docs) // n_terms) AS m FROM d, counts WHERE len(ws) > 0),
+scores AS (
+  SELECT item, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM t JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (r) GROUP BY item, r, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN i USING (item) WHERE rank <= 10
+"""
+
+
+@query
+def op12_whitening(spark, sf):
+    """Every vector on the four first components of all distinct vectors, whitened."""
+    found = whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+@query
+def op13_quality_rules(spark, sf):
+    """The rules' ledger of every document, and what the present policy makes of it."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    entries = cut(quality_rules.ledger(docs, keep=["doc_id"]), "rule-ledger")
+    judged = quality_rules.apply_policy(entries)
+    return judged.select("doc_id", *quality_rules.MEASURES, "failed", "policy", quality_rules.fails(quality_rules.BASE).alias("base_failed"), "kept")
+
+
+_RULE_BITS = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in quality_rules.RULES)
+_BASE_BITS = quality_rules.mask_of(quality_rules.BASE)
+ORACLE["op13_quality_rules"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), lines AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+    count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*\x{{2022}}]')) AS n_bullet_lines
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), windows AS (SELECT r, i, array_to_string(ws[i:i + 2], ' ') AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM again) GROUP BY r),
+m AS (
+  SELECT doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    len(regexp_extract_all(array_to_string(ws, ' '), '[^ ]*[A-Za-z\x{{80}}-\x{{10FFFF}}][^ ]*')) AS n_alpha_words,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_bullet_lines, 0) AS n_bullet_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (r) LEFT JOIN covered USING (r)
+), failed AS (SELECT *, CAST({_RULE_BITS} AS BIGINT) AS failed FROM m)
+SELECT *, {quality_rules.POLICY.version} AS policy, failed & {_BASE_BITS} <> 0 AS base_failed, failed = 0 AS kept FROM failed
+"""
