@@ -21,8 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: words a task remembers, about 200 bytes each; then it starts afresh
-REMEMBERED = 300_000
+from coffer.llm.common import slices, texts
+
+#: bytes of words and ids that a task remembers, and for each word about this much more; beyond
+#: that it starts afresh
+REMEMBERED, _OVERHEAD = 40 << 20, 190
 _LONG_WORD = 64
 
 
@@ -92,19 +95,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     kept = [c for c in (keep or docs.columns) if c != name]
 
     def run(batches):
-        ranks, known, find = shared.value, {}, regex.compile(pattern).findall
-        for batch in batches:
-            ids, ends = array("i"), [0]
-            for value in batch.column(len(kept)).to_pylist():
-                for word in find(value or ""):
+        ranks, known, held, find = shared.value, {}, 0, regex.compile(pattern).findall
+        for batch in slices(batches, len(kept)):
+            ids, ends = bytearray(), [0]
+            for raw in texts(batch.column(len(kept))):
+                for word in find(raw.decode()):
                     own = known.get(word)
                     if own is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        own = known[word] = tuple(merge(word.encode(), ranks))
-                    ids.extend(own)
-                ends.append(len(ids))
-            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
+                        own = array("i", merge(word.encode(), ranks)).tobytes()
+                        held += len(word) + len(own) + _OVERHEAD
+                        if held >= REMEMBERED:
+                            known, held = {}, len(word) + len(own) + _OVERHEAD
+                        known[word] = own
+                    ids += own
+                ends.append(len(ids) // 4)
+            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(bytes(ids), np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], [*kept, name])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.ArrayType(T.IntegerType()))])

@@ -61,6 +61,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about ``size`` bytes of text in a column, or one row, each, so
+    that what a function makes of a part stays small beside a batch of long texts."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def texts(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each row of a string column; nulls count as empty."""
     data, offsets = utf8(column)

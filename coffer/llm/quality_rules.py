@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coffer.llm.common import texts
+from coffer.llm.common import slices, texts
 
 #: counted in a text, all of them bigint
 MEASURES = (
@@ -116,7 +116,7 @@ def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", k
     at = len(kept)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, at):
             rows = [measure(raw) for raw in texts(batch.column(at))]
             counts = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts], [*kept, *MEASURES])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coffer.llm.common import cut, utf8
+from coffer.llm.common import cut, free_name, slices, texts
 from coffer.llm.components import components
 
 BITS = 64
@@ -47,10 +47,8 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, name: st
     kept = [c for c in docs.columns if c not in (text, name)]
 
     def run(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(len(kept)))
-            data = data.tobytes()
-            out = [fingerprint(data[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        for batch in slices(batches, len(kept)):
+            out = [fingerprint(raw, shingle) for raw in texts(batch.column(len(kept)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.int64())], [*kept, name])
 
     fields = docs.select(*kept, F.lit(0).cast("bigint").alias(name)).schema
@@ -96,122 +94,24 @@ def groups(prints: DataFrame, doc_id: str = "doc_id", name: str = "fingerprint",
     return prints.drop(component).join(by_print, F.col(name) == F.col("__print"), "left").drop("__print")
 
 
-#: near duplicates by similarity: bands of least hashes for candidates, and rounds of centres
-BANDS, BAND_ROWS, ROUNDS = 20, 5, 3
-_SALTS = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64)
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One document of each group of near duplicates: the one of least id (null ids last).
 
-
-def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles (words as in ``fingerprint``)."""
-    ws = raw.lower().split()
-    n = max(1, len(ws) - shingle + 1) if ws else 0
-    parts = {b" ".join(ws[i : i + shingle]) for i in range(n)}
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)))
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A key for each band of least hashes and one for each two bands; none for the empty set.
-
-    Sets of similarity J have an equal band with probability J ** BAND_ROWS, whatever the kind of
-    edit between them.
-    """
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 12):  # bounded memory for very long texts
-        own = hashes[at : at + (1 << 12), None] * (_SALTS[0] | np.uint64(1)) + _SALTS[1]
-        least = np.minimum(least, own.min(axis=0))
-    bands = [row.tobytes() for row in least.reshape(BANDS, BAND_ROWS)]
-    keys = [xxhash.xxh3_64_intdigest(b, t) for t, b in enumerate(bands)]
-    keys += [xxhash.xxh3_64_intdigest(b + bands[t - 1], BANDS + t) for t, b in enumerate(bands)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
-def _sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """``docs`` without the text, with ``group`` (hash of the shingle set) and, where a task meets
-    a group first, its ``keys`` and ``shingles``; null elsewhere."""
-    kept = [c for c in docs.columns if c not in (text, "group")]
-
-    def run(batches):
-        seen = set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                data, offsets = utf8(batch.column(len(kept)))
-                data = data.tobytes()
-                groups, keys, shingles = [], [], []
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                    hashes = shingle_set(data[a:b], shingle)
-                    groups.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
-                    new = groups[-1] not in seen
-                    seen.add(groups[-1])
-                    keys.append(band_keys(hashes) if new else None)
-                    shingles.append(hashes.view(np.int64) if new else None)
-                made = [pa.array(np.array(groups, np.uint64).view(np.int64)), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, shingles))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*kept, "group", "keys", "shingles"])
-
-    empty = F.array().cast("array<bigint>")
-    schema = docs.select(*kept, F.lit(0).cast("bigint").alias("group"), empty.alias("keys"), empty.alias("shingles")).schema
-    for field in schema:
-        field.nullable = True
-    return docs.select(*kept, F.col(text)).mapInArrow(run, schema)
-
-
-def similar_groups(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the text and with ``group``: equal for documents connected by a similarity
-    (Jaccard) of their sets of ``shingle``-word shingles of at least ``similarity``.
-
-    Candidates have an equal band of least hashes of these shingles: at 0.8 with probability
-    0.9996. Every link is verified on the whole shingle sets (as 64-bit hashes). Equal sets are
-    one node. Nodes of a band are compared with a centre instead of with each other, so a band of
-    any size gives candidates in proportion to its nodes. As nodes may be similar to each other
-    and not to the centre, bands whose nodes are not yet connected get other centres in further
-    rounds, and keys of two bands divide large bands into smaller ones.
-    """
-    prints = cut(_sets(docs, text, shingle), "fingerprints")
-    rows = prints.select(F.col("group").alias("node"), "keys").where("keys is not null").dropDuplicates(["node"])
-    rows = cut(rows.select("node", F.explode("keys").alias("key")), "bands")
-    shared_keys = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = cut(rows.join(shared_keys, "key"), "met")
-    wanted = met.select(F.col("node").alias("group")).distinct()
-    sets = prints.where("shingles is not null").select("group", "shingles").join(wanted, "group", "left_semi")
-    sets = cut(sets.dropDuplicates(["group"]), "sets")
-    edges, found = None, None
-    for turn in range(ROUNDS):
-        named = met.withColumn("component", F.col("node"))
-        if found is not None:
-            known = found.select("node", F.col("component").alias("known"))
-            named = met.join(known, "node", "left").select("key", "node", F.coalesce("known", "node").alias("component"))
-        pick = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node"), F.col("component"))
-        centres = named.groupBy("key").agg(F.min(pick).alias("centre"), F.min("component").alias("a"), F.max("component").alias("b"))
-        centres = centres.where("a != b").select("key", "centre")
-        pairs = named.join(centres, "key").where(F.col("component") != F.col("centre.component"))
-        ends = [F.col("centre.node"), F.col("node")]
-        pairs = cut(pairs.select(F.least(*ends).alias("left"), F.greatest(*ends).alias("right")).distinct(), "pairs")
-        links = pairs.join(sets.select(F.col("group").alias("left"), F.col("shingles").alias("a")), "left")
-        links = links.join(sets.select(F.col("group").alias("right"), F.col("shingles").alias("b")), "right")
-        links = links.withColumn("both", F.size(F.array_intersect("a", "b")))
-        alike = F.col("both") / (F.size("a") + F.size("b") - F.col("both")) >= similarity
-        links = cut(links.where(alike).select("left", "right"), "links")
-        edges = links if edges is None else edges.unionByName(links)
-        if found is not None and links.isEmpty():
-            break
-        found = components(edges, "left", "right")
-    grouped = prints.drop("keys", "shingles").join(found, F.col("group") == F.col("node"), "left")
-    own = [c for c in docs.columns if c not in (text, "group")]
-    return grouped.select(*own, F.coalesce("component", "group").alias("group"))
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each group of similar ones: the one of least id (null ids last).
-
-    Of rows alike in every column one stays. Empty and null texts are alike. ``docs`` is read
-    twice, for the fingerprints and for the rows kept, which are shuffled once.
+    Of rows with that id in a group the one of least row hash stays, of rows alike in every
+    column one. Texts without words are alike. ``docs`` is read twice, for the fingerprints and
+    for the rows kept, which are shuffled once; any columns may be there.
     """
     whole = F.xxhash64(*[F.col(c) for c in docs.columns])
-    name = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), whole.alias("row"))
-    grouped = similar_groups(docs.select(name.alias("name"), F.col(text).alias("text")), "text", **options)
-    winners = cut(grouped.groupBy("group").agg(F.min("name").alias("name")).select("name.row").distinct(), "kept")
-    first = W.partitionBy("__row").orderBy("__row")
-    kept = docs.withColumn("__row", whole).withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return kept.join(winners, F.col("__row") == F.col("row"), "left_semi").select(*docs.columns)
+    key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), whole.alias("row"))
+    prints = cut(fingerprints(docs.select(key.alias("key"), F.col(text).alias("text")), shingle=shingle), "fingerprints")
+    least = prints.groupBy("fingerprint").agg(F.min("key").alias("key"))  # copies collapse here
+    found = components(links(prints, radius=radius), "left", "right")
+    rooted = least.join(found, F.col("fingerprint") == F.col("node"), "left")
+    winners = rooted.groupBy(F.coalesce("component", "fingerprint").alias("root")).agg(F.min("key").alias("key"))
+    winners = cut(winners.select("key.*"), "kept")
+    own, n = free_name(docs, "__key"), free_name(docs, "__n")
+    marked = docs.withColumn(own, key)
+    same = (F.col(f"{own}.row") == winners["row"]) & F.col(f"{own}.id").eqNullSafe(winners["id"])
+    kept = marked.join(winners, same, "left_semi")
+    first = W.partitionBy(f"{own}.row", f"{own}.id").orderBy(f"{own}.row")
+    return kept.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).select(*docs.columns)

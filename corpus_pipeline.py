@@ -16,8 +16,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """The document of least id of each group that fingerprints of 3-word shingles link at 2 bits."""
+    return simhash.keep_one(docs, shingle=3, radius=2)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
