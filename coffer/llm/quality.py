@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -194,15 +195,14 @@ class Model:
                 own = [b for x, b in part if x == lang]
                 inside = inside | ((F.col("lang") == lang) & (by.isin(own) | (F.col("k").between(0, 1))))
             rows = self.table.where(inside).toArrow()
-            frame = {c: rows.column(c).to_numpy() for c in ("lang", "k", "code", "bits")}
             tables: dict = {}
             for lang in langs:
-                mine = frame["lang"] == lang
-                tables[lang] = {}
-                for k in np.unique(frame["k"][mine]):
-                    own = mine & (frame["k"] == k)
-                    at = np.argsort(frame["code"][own])
-                    tables[lang][int(k)] = (frame["code"][own][at], frame["bits"][own][at])
+                mine, tables[lang] = rows.filter(pc.equal(rows["lang"], lang)), {}
+                for k in pc.unique(mine["k"]).to_pylist():
+                    own = mine.filter(pc.equal(mine["k"], k))
+                    codes = own["code"].to_numpy()
+                    at = np.argsort(codes)
+                    tables[lang][k] = (codes[at], own["bits"].to_numpy()[at])
             flags = {lang: np.zeros(256, bool) for lang in langs}
             for lang, b in part:
                 flags[lang][b] = True
