@@ -9,7 +9,7 @@ from coffer.operators.budgets import (
     resolve_budget,
     scd2_apply,
 )
-from coffer.operators.categorise import categorise, match_rules
+from coffer.operators.categorise import categorise, keyword_index, match_rules, rule_candidates
 from coffer.operators.dedup import dedup_new, first_rows, known_keys
 from coffer.operators.dims import enrich_transactions, stg_categories
 from coffer.operators.periods import (

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coffer import plans
-from coffer.operators import assign_periods, dedup_new, known_keys, match_rules, pay_periods
+from coffer.operators import assign_periods, dedup_new, keyword_index, known_keys, match_rules, pay_periods, rule_candidates
 from coffer.keys import spread_join
 from coffer.sources import date_dim, write_ledger
 from conftest import D, M, pay_dates, rows, txns
@@ -134,3 +134,38 @@ def test_month_folders_are_read_alone(spark, tmp_path):
     assert back.count() == 90
     text = back.where("year_month = '2026-02'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year_month" in text and back.where("year_month = '2026-02'").count() == 28
+
+
+def distinct_candidates(df, index):
+    return rule_candidates(df, index, "text").select("_hash", "_keyword").distinct().count()
+
+
+@pytest.mark.parametrize("keyword, n_rules", [("TRANSFER TO CUSTOMER %06d", 100_000), ("PAYPAL *%06d SYDNEY AU", 20_000), ("%06d DIRECT DEBIT OF THE BANK", 20_000)])
+def test_many_rules_that_begin_or_end_alike_cost_a_text_few_candidates(spark, keyword, n_rules):
+    ids = spark.range(n_rules).select((F.col("id") * 9973 % (10 * n_rules)).alias("n"))
+    name = lambda n: F.format_string(keyword, n)
+    rules = ids.select(name(F.col("n")).alias("keyword"), F.col("n").cast("string").alias("category_id"), F.lit(1).alias("priority"))
+    df = ids.where("n % 10 = 0").select(F.concat(F.lit("ref 17 "), name(F.col("n")), F.lit(" on card")).alias("text"), F.col("n").cast("string").alias("want"))
+    index = keyword_index(rules, df, "text")
+    hits = match_rules(df, rules, "text", index=index).join(df, "text")
+    n = df.count()
+    assert n == n_rules // 10 and hits.where("category_id = want").count() == hits.count() == n
+    assert distinct_candidates(df, index) <= 2 * n
+
+
+def test_texts_that_begin_alike_are_no_candidates_of_one_rule(spark):
+    df = spark.range(5000).select(F.format_string("PAYPAL *SHOP %05d", F.col("id")).alias("text"))
+    rules = spark.createDataFrame([("paypal *shop 00017", "one", 1), ("paypal *gym", "none", 1)], "keyword string, category_id string, priority int")
+    index = keyword_index(rules, df, "text")
+    assert rows(match_rules(df, rules, "text", index=index), "text") == [("PAYPAL *SHOP 00017",)]
+    assert distinct_candidates(df, index) <= 2
+
+
+def test_an_index_serves_other_texts_and_a_hot_gram_is_split(spark):
+    rules = spark.createDataFrame([("transfer", "t", 1), ("transfer out", "o", 2), ("x", "x", 0), ("漢字です", "k", 9)], "keyword string, category_id string, priority int")
+    index = keyword_index(rules)
+    df = spark.range(3000).select(F.concat(F.lit("transfer "), F.when(F.col("id") % 3 == 0, "out ").otherwise("in "), F.col("id").cast("string")).alias("text"))
+    odd = spark.createDataFrame([("ab漢字です",), ("漢字で",), ("x",), ("",), (None,)], "text string")
+    got = match_rules(df.unionByName(odd), rules, "text", index=index).groupBy("category_id").count()
+    assert rows(got) == [("k", 1), ("o", 1000), ("t", 2000), ("x", 1)]
+    assert match_rules(odd.where("text is null"), rules, "text", index=index).count() == 0
