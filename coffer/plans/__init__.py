@@ -33,7 +33,7 @@ from coffer.plans.reports import (
     to_nested,
 )
 from coffer.plans.staging import stage_daily, stg_transactions
-from coffer.plans.statement_import import import_statement
+from coffer.plans.statement_import import import_statement, outputs
 from coffer.plans.views import v_budget_vs_actual, v_monthly_summary
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -1,11 +1,12 @@
 import os
+import re
 
 import pytest
 
 from pyspark.sql import functions as F
 
 from coffer import plans
-from coffer.operators import categorise, dedup_new, match_rules
+from coffer.operators import categorise, dedup_new, keyword_index, match_rules
 from coffer.session import work_dir
 from coffer.sources import expand_breakdown, parse_statement, read_statement, unpivot_sheet
 from coffer.sources.statements import SOURCE_ORDER
@@ -296,3 +297,68 @@ def test_rules_have_one_meaning_inline_and_by_join(spark, inline):
     )
     df = categorise(texts(spark, ["a shop", "shore"]), rules, inline=inline)
     assert categories(df) == {"a shop": "a", "shore": "weak"}
+
+
+def plan_text(df):
+    """The physical plan with whole paths and filters."""
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def scans(df, path):
+    """Times that a plan reads files below a path."""
+    return len(re.findall(rf"FileScan [^\n]*{re.escape(path)}", plan_text(df)))
+
+
+def test_outputs_of_kept_rows_repeat_no_work(spark):
+    base = work_dir(spark, "import")
+    lines = [("1/6/2026", "-50", "Coles"), ("1/6/2026", "-50", "Coles"), ("2/6/2026", "-9", "mystery"), ("3/6/2026", "0", "gym"), ("4/6/2026", "7", "gym")]
+    statement(spark, lines).write.parquet(f"{base}/lines")
+    spark.createDataFrame([("a", D("2026-06-04"), M(7), "gym")], LEDGER).write.parquet(f"{base}/ledger")
+    raw, ledger = (spark.read.parquet(f"{base}/{t}") for t in ("lines", "ledger"))
+    index = keyword_index(spark.createDataFrame(RULES, RULE))
+    done = plans.import_statement(raw, spark.createDataFrame(RULES, RULE), ledger, "b", index=index)
+    assert scans(done.rows, f"{base}/ledger") == 1
+    # the keyword join, and what it looks up about the index
+    assert len(re.findall(r"Join [^\n]*_gram", done.rows._jdf.queryExecution().executedPlan().toString())) == 1
+    kept = plans.outputs(done.rows.persist(), "b")
+    for name in ("inserted", "duplicates", "review", "rejects", "summary"):
+        text = getattr(kept, name)._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" in text and not text.split("InMemoryRelation")[0].count("Join")
+        assert rows(getattr(kept, name)) == rows(getattr(done, name))
+    assert rows(done.rows, "source_line", "outcome") == [(2, "inserted"), (3, "duplicates"), (4, "review"), (5, "rejects"), (6, "duplicates")]
+    assert rows(kept.summary) == [("a", 3, 1, 1, 3, 1)]
+    done.rows.unpersist()
+
+
+def test_rows_without_a_ledger_are_rejected(spark):
+    raw = statement(spark, [("1/6/2026", "-50", "Coles")] * 2).withColumn("account_id", F.when(F.col("source_line") == 2, "a"))
+    done = plans.import_statement(raw, spark.createDataFrame(RULES, RULE), spark.createDataFrame([], LEDGER), "b")
+    assert rows(done.inserted, "account_id", "source_line") == [("a", 2)]
+    assert rows(done.rejects, "account_id", "source_line", "reasons") == [(None, 3, ["account_id is required"])]
+
+
+def test_a_stray_date_reads_its_month_alone(spark, monkeypatch):
+    from coffer.streaming import statement_stream
+
+    base = work_dir(spark, "stray")
+    rules, read = spark.createDataFrame(RULES, RULE), []
+    run = lambda: import_stream(spark, f"{base}/in", f"{base}/ledger", f"{base}/checkpoint", rules).awaitTermination()
+    write_files(base, {"in/account_id=a/1.csv": HEADER + "".join(f"3/{m}/2026,-{m},gym {m},\n" for m in range(1, 13)) + "1/1/1970,-1,gym,\n"})
+    run()
+    original = statement_stream.import_statement
+
+    def watched(lines, rules, known, *args):
+        read.append(plan_text(known))
+        return original(lines, rules, known, *args)
+
+    monkeypatch.setattr(statement_stream, "import_statement", watched)
+    write_files(base, {"in/account_id=a/2.csv": HEADER + "3/6/2026,-6,gym 6,\n1/1/1970,-1,gym,\n5/6/2026,-5,gym,\n"})
+    run()
+    folders = re.findall(r"PartitionFilters: \[[^\]]*year_month#\d+ IN \(([^)]*)\)", read[-1])
+    assert folders and {frozenset(f.split(",")) for f in folders} == {frozenset(["1970-01", "2026-06"])}
+    got = spark.read.parquet(f"{base}/ledger")
+    assert got.count() == 14 and got.where("transaction_date = '2026-06-05'").count() == 1
