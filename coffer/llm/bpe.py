@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a given rank file.
 
-Encoding splits a text by the tokenizer's pattern and folds ranked merges over the byte array of
-each distinct word of a task, remembered while the task lasts; texts are then sequences of
-remembered words. Decoding is built in: ids become the hex digits of their pieces, which are
+Encoding splits a text by the tokenizer's pattern and folds ranked merges over the byte arrays of
+the distinct words of a task, many words at a time, remembered while the task lasts; texts are
+then sequences of remembered words. Decoding is built in: ids become the hex digits of their pieces, which are
 concatenated. README gives the figures that rule out folding with Spark's higher-order functions.
 """
 
@@ -27,6 +27,8 @@ from coffer.llm.common import slices, texts
 #: that it starts afresh
 REMEMBERED, _OVERHEAD = 40 << 20, 190
 _LONG_WORD = 64
+#: new words that are merged at once
+_TOGETHER = 20_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,22 +37,47 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in file if line.strip())}
 
 
-def _merge_short(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    parts = [word[i : i + 1] for i in range(len(word))]
-    none = len(ranks) + (1 << 40)
-    pair_ranks = [ranks.get(word[i : i + 2], none) for i in range(len(word) - 1)]
-    while pair_ranks:
-        best = min(pair_ranks)
-        if best == none:
-            break
-        i = pair_ranks.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pair_ranks[i]
-        if i:
-            pair_ranks[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        if i < len(pair_ranks):
-            pair_ranks[i] = ranks.get(parts[i] + parts[i + 1], none)
-    return parts
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ids that merge (left * 2^32 + right, sorted) and the ids they merge into."""
+    pairs = {
+        (ranks[piece[:i]] << 32) + ranks[piece[i:]]: rank
+        for piece, rank in ranks.items()
+        for i in range(1, len(piece))
+        if piece[:i] in ranks and piece[i:] in ranks
+    }
+    codes = np.fromiter(pairs, np.int64, len(pairs))
+    order = np.argsort(codes)
+    return codes[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+
+
+def merge_words(words: list[bytes], ranks: dict[bytes, int], table: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Token ids of each word: in each round every word merges its leftmost pair of least rank,
+    until none of its pairs has a rank."""
+    codes, merged = table
+    none = np.int64(1) << 40
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    ids = single[np.frombuffer(b"".join(words), np.uint8)]
+    word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(ids):
+        pair = (ids[:-1] << 32) + ids[1:]
+        at = np.minimum(np.searchsorted(codes, pair), len(codes) - 1) if len(codes) else np.zeros(len(pair), np.int64)
+        known = (codes[at] == pair) & (word[1:] == word[:-1]) if len(codes) else np.zeros(len(pair), bool)
+        rank = np.append(np.where(known, merged[at] if len(codes) else 0, none), none)  # one for each id, as the left of its pair
+        starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        least = np.minimum.reduceat(rank, starts)
+        best = np.repeat(least, np.diff(np.append(starts, len(ids))))
+        go = best < none
+        done.append((word[~go], ids[~go]))
+        left = np.flatnonzero((rank == best) & go)
+        left = left[np.append(True, word[left][1:] != word[left][:-1])] if len(left) else left
+        ids[left] = rank[left]
+        go[left + 1] = False
+        ids, word = ids[go], word[go]
+    words_of, all_ids = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64),) * 2
+    order = np.argsort(words_of, kind="stable")
+    ends = np.searchsorted(words_of[order], np.arange(1, len(words) + 1))
+    return np.split(all_ids[order].astype(np.int32), ends[:-1]) if len(words) else []
 
 
 def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -76,10 +103,25 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one word: the leftmost pair of least rank merges until no pair has a rank."""
-    if word in ranks:
-        return [ranks[word]]
-    parts = (_merge_short if len(word) <= _LONG_WORD else _merge_long)(word, ranks)
-    return [ranks[p] for p in parts]
+    return [ranks[word]] if word in ranks else [ranks[p] for p in _merge_long(word, ranks)]
+
+
+def _remember(known: dict[str, bytes], fresh: list[str], ranks: dict[bytes, int], table) -> int:
+    """Adds the token ids of new words, as bytes; returns what that takes of memory."""
+    several, held = [], 0
+    for word in fresh:
+        raw = word.encode()
+        if raw in ranks or len(raw) > _LONG_WORD:
+            known[word] = array("i", merge(raw, ranks)).tobytes()
+        else:
+            several.append((word, raw))
+    for at in range(0, len(several), _TOGETHER):
+        part = several[at : at + _TOGETHER]
+        for (word, _), ids in zip(part, merge_words([raw for _, raw in part], ranks, table)):
+            known[word] = ids.tobytes()
+    for word in fresh:
+        held += len(word) + len(known[word]) + _OVERHEAD
+    return held
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", name: str = "tokens", keep: list[str] | None = None) -> DataFrame:
@@ -91,23 +133,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     """
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("the ranks lack single bytes")
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pair_table(ranks)))
     kept = [c for c in (keep or docs.columns) if c != name]
 
     def run(batches):
-        ranks, known, held, find = shared.value, {}, 0, regex.compile(pattern).findall
-        for batch in slices(batches, len(kept)):
+        (ranks, table), known, held, find = shared.value, {}, 0, regex.compile(pattern).findall
+        for batch in slices(batches, len(kept), 2 << 20):
+            found = [find(raw.decode()) for raw in texts(batch.column(len(kept)))]
+            if held >= REMEMBERED:
+                known, held = {}, 0
+            held += _remember(known, list({w for ws in found for w in ws if w not in known}), ranks, table)
             ids, ends = bytearray(), [0]
-            for raw in texts(batch.column(len(kept))):
-                for word in find(raw.decode()):
-                    own = known.get(word)
-                    if own is None:
-                        own = array("i", merge(word.encode(), ranks)).tobytes()
-                        held += len(word) + len(own) + _OVERHEAD
-                        if held >= REMEMBERED:
-                            known, held = {}, len(word) + len(own) + _OVERHEAD
-                        known[word] = own
-                    ids += own
+            for ws in found:
+                ids += b"".join([known[w] for w in ws])
                 ends.append(len(ids) // 4)
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(bytes(ids), np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], [*kept, name])

@@ -164,9 +164,18 @@ def test_tokens_equal_the_library(spark, documents, odd, ranks):
 @pytest.mark.parametrize("length", [1, 63, 64, 65, 300])
 def test_both_merges_agree(ranks, length):
     rng = random.Random(length)
-    for _ in range(20):
-        word = "".join(rng.choice("etaoin shérd") for _ in range(length)).encode()
-        assert bpe._merge_short(word, ranks) == bpe._merge_long(word, ranks)
+    words = ["".join(rng.choice("etaoin shérd") for _ in range(length)).encode() for _ in range(20)]
+    got = bpe.merge_words(words, ranks, bpe.pair_table(ranks))
+    assert [ids.tolist() for ids in got] == [[ranks[p] for p in bpe._merge_long(w, ranks)] for w in words]
+    assert bpe.merge_words([], ranks, bpe.pair_table(ranks)) == []
+
+
+def test_words_are_forgotten_and_learned_again(spark, ranks, documents, monkeypatch):
+    few = documents.where("length(text) < 4000").limit(40).persist()
+    want = {r.doc_id: r.tokens for r in bpe.encode(few, ranks, public_tokenizers.PATTERN).collect()}
+    monkeypatch.setattr(bpe, "REMEMBERED", 1)
+    monkeypatch.setattr(bpe, "_TOGETHER", 7)
+    assert {r.doc_id: r.tokens for r in bpe.encode(few, ranks, public_tokenizers.PATTERN).collect()} == want
 
 
 def test_higher_order_functions_fold_the_same_words(spark, ranks):
