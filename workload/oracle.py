@@ -808,6 +808,30 @@ ORACLE: dict[str, str] = {
           ('copied', 'category budget values', 'account_id, category_id, start_date, budget_amount', 1),
           ('copied', 'envelope budget values', 'account_id, type_id, start_date, budget_amount', 0)) v("check", "table", "column", violations),
         (SELECT COUNT(*) AS n FROM customer WHERE c_custkey % 20 = 7)""",
+    "loaded_tables": "SELECT o_orderkey, o_custkey, o_totalprice, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",
+    "migration_preflight": """
+        WITH kinds(id, kind) AS (VALUES (0, 'fixed'), (1, 'variable'), (2, 'income'), (3, 'saving')),
+        needed(name) AS (VALUES ('Groceries'), ('Health'), ('Phone & Internet'), ('Shopping'), ('Subscriptions'), ('Transport'), ('Utilities')),
+        g AS (SELECT c_custkey AS a, id, kind AS name FROM customer, kinds WHERE NOT (c_custkey % 10 = 3 AND id = 3)
+          UNION ALL SELECT c_custkey, 9, 'other' FROM customer WHERE c_custkey % 10 = 4),
+        c AS (SELECT c_custkey AS a, name, CASE WHEN c_custkey % 7 = 0 AND name = 'Health' THEN NULL
+            WHEN c_custkey % 17 = 0 AND name = 'Phone & Internet' THEN 9 ELSE 0 END AS gid,
+            CASE WHEN c_custkey % 11 = 0 AND name = 'Groceries' THEN 'odd' ELSE 'fixed' END AS type
+          FROM customer, needed WHERE NOT (c_custkey % 13 = 0 AND name = 'Utilities')),
+        found("check", "table", "column", violations) AS (
+          SELECT 'names', 'expense_groups', 'name', COUNT(*) FILTER (n <> 4 OR k <> 4 OR others > 0) FROM (
+            SELECT a, COUNT(*) FILTER (name IN (SELECT kind FROM kinds)) AS n, COUNT(DISTINCT CASE WHEN name IN (SELECT kind FROM kinds) THEN name END) AS k,
+              COUNT(*) FILTER (name NOT IN (SELECT kind FROM kinds)) AS others FROM g GROUP BY a)
+          UNION ALL SELECT 'names', 'categories', 'name', COUNT(*) FILTER (n <> 7) FROM (SELECT a, COUNT(*) AS n FROM c GROUP BY a)
+          UNION ALL SELECT 'not_null', 'categories', 'expense_group_id', COUNT(*) FROM c WHERE gid IS NULL
+          UNION ALL SELECT 'relationship', 'categories', 'account_id, expense_group_id', COUNT(*) FROM c
+            WHERE gid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM g WHERE g.a = c.a AND g.id = c.gid)
+          UNION ALL SELECT 'same', 'categories', 'type = group_type', COUNT(*) FROM c JOIN g ON g.a = c.a AND g.id = c.gid WHERE c.type <> g.name
+          UNION ALL SELECT 'unique', 'monthly_budgets', 'account_id, category_id', COUNT(*) FROM (
+            SELECT 1 FROM orders GROUP BY o_custkey, o_orderpriority HAVING COUNT(*) > 1)
+          UNION ALL SELECT 'unique', 'monthly_group_budgets', 'account_id, expense_group_id', COUNT(*) FROM (
+            SELECT 1 FROM orders GROUP BY o_custkey, o_orderstatus HAVING COUNT(*) > 1))
+        SELECT * FROM found""",
     "ledger_rejects": sql(
         "txns",
         """SELECT id, concat_ws('; ', CASE WHEN amount <= 20000 THEN 'amount must be positive' END,

@@ -20,6 +20,7 @@ from coffer.session import work_dir
 from coffer.sources import (
     day_spine,
     expand_breakdown,
+    load_ledger,
     lookup_id,
     parse_statement,
     read_statement,
@@ -916,6 +917,18 @@ def unified_budgets_checks(spark, sf):
     return _unified(spark, sf).checks
 
 
+@query
+def loaded_tables(spark, sf):
+    """Orders with their customer's segment, through a load with declared schemas and columns."""
+    loaded = load_ledger(
+        spark,
+        {"orders": f"{sf}/orders.parquet", "customer": f"{sf}/customer.parquet"},
+        {"orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double", "customer": "c_custkey bigint, c_name string, c_mktsegment string"},
+        {"customer": ["c_custkey", "c_mktsegment"]},
+    )
+    return loaded["orders"].join(loaded["customer"], F.col("o_custkey") == F.col("c_custkey")).drop("c_custkey")
+
+
 # --- data quality ----------------------------------------------------------------------------
 
 
@@ -952,6 +965,32 @@ def quality_report(spark, sf):
     return op.quality_report(tables, plans.ledger_rules(tables))
 
 
+@query
+def migration_preflight(spark, sf):
+    """A migration's conditions over customers, some of whom lack groups, categories or types."""
+    kinds, needed = fv.TYPE_NAMES, sorted({category for _, category, _ in fv.MERCHANT_RULES})
+    ids = m.table(spark, sf, "customer").select(F.col("c_custkey").alias("account_id"))
+    a, name = F.col("account_id"), F.col("name")
+    groups = ids.select(a, F.posexplode(F.array(*map(F.lit, kinds))).alias("id", "name"))
+    groups = groups.where(~((a % 10 == 3) & (F.col("id") == 3))).unionByName(
+        ids.where(a % 10 == 4).select(a, F.lit(9).alias("id"), F.lit("other").alias("name"))
+    )
+    categories = ids.select(a, F.explode(F.array(*map(F.lit, needed))).alias("name"))
+    categories = categories.where(~((a % 13 == 0) & (name == needed[-1]))).select(
+        a,
+        "name",
+        F.when((a % 7 == 0) & (name == needed[1]), None)
+        .when((a % 17 == 0) & (name == needed[2]), 9)
+        .otherwise(0)
+        .alias("expense_group_id"),
+        F.when((a % 11 == 0) & (name == needed[0]), "odd").otherwise(kinds[0]).alias("type"),
+    )
+    orders = m.table(spark, sf, "orders")
+    monthly = orders.select(F.col("o_custkey").alias("account_id"), F.col("o_orderpriority").alias("category_id"))
+    shared = orders.select(F.col("o_custkey").alias("account_id"), F.col("o_orderstatus").alias("expense_group_id"))
+    return plans.migration_preflight(categories, groups.withColumn("type", name), monthly, shared)
+
+
 @query
 def ledger_rejects(spark, sf):
     """Rows that break a rule of the transactions table, with the reasons."""
