@@ -25,6 +25,7 @@ from coffer.plans.reports import (
     list_types,
     monthly_spending,
     monthly_totals,
+    page_ends,
     plan_summary,
     reconcile,
     search_transactions,

@@ -161,6 +161,43 @@ def _newest(
     )
 
 
+def _after(df: DataFrame, after: tuple | DataFrame | None, per: Sequence[str]) -> DataFrame:
+    """Rows that come after a cursor in the order of the pages: newest first, then by id.
+
+    The bare comparison of the date reaches the scan, so a page far down reads no newer months.
+    """
+    if after is None:
+        return df
+    if isinstance(after, DataFrame):
+        if not per:
+            raise ValueError("a table of cursors needs the columns that pages are made per")
+        ends = after.select(*per, F.struct(F.lit(True).alias("_"), "transaction_date", "id").alias("_end"))
+        end, day, last = F.col("_end"), F.col("_end.transaction_date"), F.col("_end.id")
+        df = spread_join(df, ends, per, "left")
+    else:
+        day, last = (F.lit(v) for v in after)
+        end = F.lit(True)
+        if after[0] is not None:
+            df = df.where((F.col("transaction_date") <= day) | F.col("transaction_date").isNull())
+    later_id = F.coalesce(F.col("id") > last, last.isNull() & F.col("id").isNotNull())
+    older = F.coalesce(F.col("transaction_date") < day, F.col("transaction_date").isNull() & day.isNotNull())
+    rest = df.where(end.isNull() | older | (F.col("transaction_date").eqNullSafe(day) & later_id))
+    return rest.drop("_end")
+
+
+def page_ends(page: DataFrame, per: Sequence[str] = ()) -> DataFrame:
+    """The cursor of a page, one for each value of ``per``: ``transaction_date`` and ``id`` of its
+    last row. No row for a page without rows. Ids tell the rows of a page apart."""
+    place = F.struct(
+        F.col("transaction_date").isNull().alias("undated"),
+        (-F.unix_date("transaction_date")).alias("age"),
+        F.col("id"),
+        F.col("transaction_date"),
+    )
+    ends = page.groupBy(*per).agg(F.max(place).alias("_end")).where(F.col("_end").isNotNull())
+    return ends.select(*per, "_end.transaction_date", "_end.id")
+
+
 def _check_limit(limit: int, most: int | None = None) -> None:
     if limit < 1 or (most is not None and limit > most):
         raise ValueError(f"limit must be between 1 and {most or 'any number'}, got {limit}")
@@ -206,13 +243,20 @@ def list_transactions(
     offset: int = 0,
     keys: Sequence[str] = KEYS,
     per: Sequence[str] = (),
+    after: tuple | DataFrame | None = None,
 ) -> DataFrame:
-    """A page of transactions, newest first, with names. The month filter needs year and month."""
+    """A page of transactions, newest first, with names. The month filter needs year and month.
+
+    ``after`` continues behind an earlier page: the (date, id) of its last row, or with ``per``
+    the table that :func:`page_ends` makes of it, where a ledger without a row begins anew. Unlike
+    with ``offset``, the rows of earlier pages are neither sorted nor kept.
+    """
     _check_limit(limit, fv.PAGE_SIZE_MAX)
     if year and month:
         txns = in_month(txns, "transaction_date", date(year, month, 1))
     if category_id is not None:
         txns = txns.where(F.col("category_id") == F.lit(category_id))
+    txns = _after(txns, after, per)
     page = _newest(txns, [F.desc("transaction_date"), F.asc("id")], limit, offset, per)
     return enrich_transactions(page, categories, types, "left", keys)
 

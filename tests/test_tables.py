@@ -257,3 +257,36 @@ def test_quality_report_compares_pay_dates_with_periods(spark):
     tables = {"pay_dates": paid, "v_pay_periods": periods}
     report = quality_report(tables, plans.ledger_rules(tables))
     assert rows(report.where("violations > 0"), "check", "table", "violations") == [("row_parity", "pay_dates, v_pay_periods", 1)]
+
+
+def test_pages_behind_cursors_join_to_the_whole_sorted_list(spark, dims):
+    data = [(a, f"2026-01-{1 + i % 3:02d}", "rent", 1 + i) for i in range(17) for a in ("a", "b")] + [("b", "2026-02-01", "rent", 9)]
+    ledger = txns(spark, data).withColumn("transaction_date", F.when(F.col("id").isin("t4", "t9", "t20"), None).otherwise(F.col("transaction_date")))
+    want = [r.id for r in ledger.orderBy(F.desc("transaction_date"), "id").collect()]
+    got, after = [], None
+    while True:
+        page = plans.list_transactions(ledger, dims["categories"], dims["types"], limit=4, after=after)
+        end = plans.page_ends(page).first()
+        if end is None:
+            break
+        got += [r.id for r in page.orderBy(F.desc("transaction_date"), "id").collect()]
+        after = tuple(end)
+    assert got == want
+    lists, ends = {"a": [], "b": []}, None
+    for _ in range(7):
+        page = plans.list_transactions(ledger, dims["categories"], dims["types"], limit=3, per=["account_id"], after=ends)
+        for r in page.orderBy("account_id", F.desc("transaction_date"), "id").collect():
+            lists[r.account_id].append(r.id)
+        ends = spark.createDataFrame(plans.page_ends(page, ["account_id"]).collect(), "account_id string, transaction_date date, id string")
+        if ends.count() < 2:
+            break
+    for account, ids in lists.items():
+        own = [r.id for r in ledger.where(F.col("account_id") == account).orderBy(F.desc("transaction_date"), "id").collect()]
+        assert ids[: len(own)] == own
+
+
+def test_a_cursor_reaches_the_scan(spark, dims, tmp_path):
+    txns(spark, [("2026-01-01", "rent", 1), ("2025-01-01", "rent", 2)]).write.parquet(str(tmp_path / "t"))
+    page = plans.list_transactions(spark.read.parquet(str(tmp_path / "t")), dims["categories"], dims["types"], after=(D("2025-06-01"), "t0"))
+    assert rows(page, "id") == [("t1",)]
+    assert "LessThanOrEqual(transaction_date,2025-06-01)" in page._jdf.queryExecution().executedPlan().toString()

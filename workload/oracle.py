@@ -534,6 +534,11 @@ ORACLE: dict[str, str] = {
         f"""SELECT {PAGE_COLUMNS} FROM ctxns t JOIN cats c ON c.id = t.category_id
         QUALIFY row_number() OVER (PARTITION BY t.account_id ORDER BY t.transaction_date DESC, t.id) BETWEEN 2 AND 4""",
     ),
+    "list_transactions_after": sql(
+        "ctxns cats",
+        f"""SELECT {PAGE_COLUMNS} FROM ctxns t JOIN cats c ON c.id = t.category_id
+        QUALIFY row_number() OVER (PARTITION BY t.account_id ORDER BY t.transaction_date DESC, t.id) BETWEEN 3 AND 4""",
+    ),
     "get_transactions": sql(
         "txns cats",
         """SELECT t.id, t.account_id, t.amount, c.name AS category_name, c.type_id AS type_name FROM txns t JOIN cats c ON c.id = t.category_id

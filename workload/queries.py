@@ -399,6 +399,17 @@ def list_transactions_per_account(spark, sf):
     return page.select("id", "account_id", "transaction_date", "amount", "category_name", "type_name")
 
 
+@query
+def list_transactions_after(spark, sf):
+    """Every customer's second page of two, behind the cursors of the first."""
+    ledger = m.customer_ledger(spark, sf)
+    page = lambda after: plans.list_transactions(
+        ledger, m.categories(spark), m.types(spark), limit=2, per=["account_id"], after=after
+    )
+    second = page(plans.page_ends(page(None), ["account_id"]))
+    return second.select("id", "account_id", "transaction_date", "amount", "category_name", "type_name")
+
+
 @query
 def get_transactions(spark, sf):
     """Transactions of the orders that have a line of the largest quantity."""
