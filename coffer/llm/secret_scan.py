@@ -8,6 +8,7 @@ held-out findings passes. What passes is added to the base spans; base spans alw
 
 from __future__ import annotations
 
+import pickle
 import re
 from dataclasses import dataclass
 
@@ -32,6 +33,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: shape of the network's input: characters before, of (in steps of that many) and after a candidate
 BEFORE, INSIDE, AFTER = 24, 40, 8
 WIDTH, FILTERS, CLASSES = 5, 24, 98
+#: views of a shard in training, and the most shards; beyond, shards grow
+SHARD, SHARDS = 4096, 64
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -117,42 +120,114 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) * self.scale + self.shift, -30, 30)))
 
 
-def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, seed: int = 7) -> Network:
-    """Logistic loss with balanced classes, Adam; gradients pass through the pooled maxima."""
-    rng = np.random.default_rng(seed)
-    net = Network(
-        rng.normal(0, 0.1, (WIDTH, CLASSES, 3, FILTERS)).astype(np.float32),
-        np.zeros(FILTERS, np.float32),
-        rng.normal(0, 0.3, FILTERS).astype(np.float32),
-        0.0,
-    )
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    params = [net.kernel, net.bias, net.out]
-    first, second, steps = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    bias_m = bias_v = 0.0
-    for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for i in range(0, len(x), 64):
-            own = order[i : i + 64]
-            pooled, at = net._pool(x[own])
-            p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.out_bias, -30, 30)))
-            error = ((p - y[own]) * weight[own] / len(own)).astype(np.float32)
-            back = error[:, None] * net.out[None, :] * (pooled > 0)
-            grad = np.zeros_like(net.kernel)
-            f = np.broadcast_to(np.arange(FILTERS), at.shape)
-            for k in range(WIDTH):
-                chars = np.take_along_axis(x[own], at + k, axis=1)
-                np.add.at(grad[k], (chars, net.parts()[at + k], f), back)
-            grads = [grad, back.sum(axis=0), pooled.T @ error]
-            steps += 1
-            for j, (param, g) in enumerate(zip(params, grads)):
-                first[j] = 0.9 * first[j] + 0.1 * g
-                second[j] = 0.999 * second[j] + 0.001 * g * g
-                param -= 0.01 * (first[j] / (1 - 0.9**steps)) / (np.sqrt(second[j] / (1 - 0.999**steps)) + 1e-8)
-            g = float(error.sum())
-            bias_m, bias_v = 0.9 * bias_m + 0.1 * g, 0.999 * bias_v + 0.001 * g * g
-            net.out_bias -= 0.01 * (bias_m / (1 - 0.9**steps)) / (bias_v / (1 - 0.999**steps)) ** 0.5 if bias_v else 0
-    return net
+@dataclass
+class Fitting:
+    """A network in training: its parameters, Adam's moments of them, and the steps taken."""
+
+    params: list  # kernel, bias, out, out_bias
+    first: list
+    second: list
+    steps: int = 0
+
+    @staticmethod
+    def start(seed: int = 7) -> Fitting:
+        rng = np.random.default_rng(seed)
+        params = [
+            rng.normal(0, 0.1, (WIDTH, CLASSES, 3, FILTERS)).astype(np.float32),
+            np.zeros(FILTERS, np.float32),
+            rng.normal(0, 0.3, FILTERS).astype(np.float32),
+            np.zeros(1, np.float32),
+        ]
+        return Fitting(params, [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params])
+
+    def copy(self) -> Fitting:
+        """Steps replace arrays and never change them."""
+        return Fitting([*self.params], [*self.first], [*self.second], self.steps)
+
+    def network(self) -> Network:
+        return Network(*self.params[:3], float(self.params[3][0]))
+
+    def step(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """One step of Adam on the weighted logistic loss; gradients pass through the pooled maxima."""
+        net = self.network()
+        pooled, at = net._pool(x)
+        p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.out_bias, -30, 30)))
+        error = ((p - y) * weight / len(y)).astype(np.float32)
+        back = error[:, None] * net.out[None, :] * (pooled > 0)
+        grad = np.zeros_like(net.kernel)
+        f = np.broadcast_to(np.arange(FILTERS), at.shape)
+        for k in range(WIDTH):
+            chars = np.take_along_axis(x, at + k, axis=1)
+            np.add.at(grad[k], (chars, net.parts()[at + k], f), back)
+        self.steps += 1
+        for j, g in enumerate([grad, back.sum(axis=0), pooled.T @ error, error.sum(keepdims=True)]):
+            self.first[j] = 0.9 * self.first[j] + 0.1 * g
+            self.second[j] = 0.999 * self.second[j] + 0.001 * g * g
+            rate = np.sqrt(self.second[j] / (1 - 0.999**self.steps)) + 1e-8
+            self.params[j] = (self.params[j] - 0.01 * (self.first[j] / (1 - 0.9**self.steps)) / rate).astype(np.float32)
+
+    @staticmethod
+    def mean(parts: list[tuple[Fitting, int]]) -> Fitting:
+        """Parameters and moments averaged by the rows that each part has seen."""
+        total = sum(n for _, n in parts)
+        over = lambda of: [sum(v * (n / total) for v, n in zip(vs, [n for _, n in parts])).astype(np.float32) for vs in zip(*map(of, [f for f, _ in parts]))]
+        return Fitting(over(lambda f: f.params), over(lambda f: f.first), over(lambda f: f.second), max(f.steps for f, _ in parts))
+
+
+def train(views: DataFrame, counts: dict[int, int], epochs: int = 12) -> Network:
+    """Logistic loss with balanced classes, Adam, over all ``views`` (h, view, label) in every epoch.
+
+    The views lie in shards by hash, of about ``SHARD`` rows each while there are fewer than
+    ``SHARDS``. In an epoch each shard is streamed through steps of its own from the common
+    network, and the outcomes are averaged: a task holds a few rows and one network, the driver
+    one network for each shard. Shards and their order depend on the views alone.
+    """
+    total = sum(counts.values())
+    shards = min(SHARDS, -(-total // SHARD))
+    balance = np.array([0.5 * total / counts[0], 0.5 * total / counts[1]])
+    shard = F.pmod(F.shiftright("h", 2), F.lit(shards)).cast("int")
+    placed = views.withColumn("shard", shard).repartitionById(shards, F.col("shard"))
+    placed = placed.sortWithinPartitions("h", "view", "label").select("shard", "view", "label").persist()
+
+    def run(batches, epoch, current):
+        fitting, seen, own, rng = shared(current).copy(), 0, None, None
+        views, labels = [], []
+
+        def take(n):
+            nonlocal seen
+            x, y = encode_views(views[:n]), np.array(labels[:n], np.float64)
+            order = rng.permutation(n)
+            for i in range(0, n, 64):
+                at = order[i : i + 64]
+                fitting.step(x[at], y[at], balance[y[at].astype(int)])
+            seen += n
+            del views[:n], labels[:n]
+
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column(0)[0].as_py()
+                rng = rng or np.random.default_rng([epoch, own])
+                views += batch.column(1).to_pylist()
+                labels += batch.column(2).to_pylist()
+            while len(views) >= SHARD:
+                take(SHARD)
+        if views:
+            take(len(views))
+        if seen:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([own], pa.int32()), pa.array([seen], pa.int64()), pa.array([pickle.dumps(vars(fitting))], pa.binary())],
+                ["shard", "seen", "fitting"],
+            )
+
+    fitting = Fitting.start()
+    for epoch in range(epochs):
+        current = share(views.sparkSession, fitting)
+        job = placed.mapInArrow(lambda batches, e=epoch, c=current: run(batches, e, c), "shard int, seen long, fitting binary")
+        rows = sorted(job.collect(), key=lambda r: r["shard"])  # one network each
+        fitting = Fitting.mean([(Fitting(**pickle.loads(r["fitting"])), r["seen"]) for r in rows])
+        current.unpersist()
+    placed.unpersist()
+    return fitting.network()
 
 
 def calibrate(net: Network, x: np.ndarray, y: np.ndarray, recall: float) -> Network:
@@ -179,13 +254,11 @@ def calibrate(net: Network, x: np.ndarray, y: np.ndarray, recall: float) -> Netw
 def fit(
     docs: DataFrame,
     text: str = "text",
-    examples: int = 2_000,
     recall: float = 0.99,
 ) -> Network | None:
-    """Train on the findings and other candidates of all texts, of each label at most the
-    ``examples`` distinct views least by hash, so that more rows never leave fewer findings. None
-    with fewer than five findings or other candidates to train on, or without a held-out finding;
-    then only base patterns count.
+    """Train on the findings and other candidates of all texts: every distinct view, but for the
+    quarter held out by its hash. None with fewer than five findings or other candidates to train
+    on, or without a held-out finding; then only base patterns count.
     """
     def run(batches):
         for batch in batches:
@@ -199,16 +272,15 @@ def fit(
             yield pa.RecordBatch.from_arrays([pa.array(views, pa.string()), pa.array(labels, pa.int32())], ["view", "label"])
 
     seen = docs.select(F.col(text).alias("text")).mapInArrow(run, "view string, label int").distinct()
-    seen = cut(seen, "views")
-    seen = seen.withColumn("h", F.xxhash64("view"))
-    best = [seen.where(F.col("label") == k).orderBy("h", "view").limit(examples) for k in (0, 1)]
-    rows = sorted(best[0].unionByName(best[1]).collect(), key=lambda r: (r["h"], r["label"]))
-    held = np.array([r["h"] % 4 == 0 for r in rows], bool)
-    y = np.array([r["label"] for r in rows], np.float64)
-    if min((y[~held] == 1).sum(), (y[~held] == 0).sum()) < 5 or (y[held] == 1).sum() < 1:
+    seen = cut(seen.withColumn("h", F.xxhash64("view")), "views")
+    held = F.pmod("h", F.lit(4)) == 0
+    found = {(r["held"], r["label"]): r["count"] for r in seen.groupBy(held.alias("held"), "label").count().collect()}
+    counts = {k: found.get((False, k), 0) for k in (0, 1)}
+    if min(counts.values()) < 5 or not found.get((True, 1)):
         return None
-    x = encode_views([r["view"] for r in rows])
-    return calibrate(train(x[~held], y[~held]), x[held], y[held], recall)
+    net = train(seen.where(~held), counts)
+    rows = seen.where(held).orderBy("h", "view").select("view", "label").collect()
+    return calibrate(net, encode_views([r["view"] for r in rows]), np.array([r["label"] for r in rows], np.float64), recall)
 
 
 _FOUND = T.ArrayType(

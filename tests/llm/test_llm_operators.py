@@ -417,6 +417,23 @@ def test_clean_rows_do_not_switch_the_network_off(spark):
     assert alone.threshold == among.threshold and np.array_equal(alone.kernel, among.kernel)
 
 
+def findings_and_others(spark, n):
+    """One finding and one other candidate per row, all different."""
+    key = F.sha2(F.col("id").cast("string"), 256)
+    return spark.range(n).select("id", F.concat(F.lit("see token="), F.substring(key, 1, 20), F.lit(" in path_to_module_"), "id").alias("text"))
+
+
+def test_every_view_takes_part_in_training(spark):
+    docs = findings_and_others(spark, 6000)
+    views = [(v, r.id) for r in docs.collect() for a in secret_scan.candidates(r.text) for v in secret_scan.windows(r.text, a)]
+    hashed = spark.createDataFrame(views, "view string, id long").withColumn("h", F.xxhash64("view"))
+    last = hashed.where("pmod(h, 4) != 0").orderBy(F.desc("h")).first()
+    net, less = secret_scan.fit(docs), secret_scan.fit(docs.where(F.col("id") != last["id"]))
+    assert not np.array_equal(net.kernel, less.kernel)
+    again = secret_scan.fit(docs.repartition(3))
+    assert np.array_equal(net.kernel, again.kernel) and net.threshold == again.threshold
+
+
 def test_base_spans_match_the_patterns(documents):
     for text in [*TRICKY, *(r.text for r in documents.collect())]:
         assert secret_scan.scan([text], None)[0] == brute_secrets(text or "")
