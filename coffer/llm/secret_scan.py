@@ -33,6 +33,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: shape of the network's input: characters before, of (in steps of that many) and after a candidate
 BEFORE, INSIDE, AFTER = 24, 40, 8
 WIDTH, FILTERS, CLASSES = 5, 24, 98
+#: points of a logit's grid in one unit, and where it ends
+GRID, FAR = 256, 128
 #: views of a shard in training, and the most shards; beyond, shards grow
 SHARD, SHARDS = 4096, 64
 
@@ -97,7 +99,7 @@ class Network:
     out_bias: float
     scale: float = 1.0
     shift: float = 0.0
-    threshold: float = 1.1
+    threshold: float = np.inf  # of the logit
 
     @staticmethod
     def parts() -> np.ndarray:
@@ -112,9 +114,11 @@ class Network:
         return np.maximum(np.take_along_axis(hidden, at[:, None, :], axis=1)[:, 0, :], 0), at
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate(
+        """On a grid, so that equal logits can be counted."""
+        z = np.concatenate(
             [self._pool(x[i : i + 1024])[0] @ self.out + self.out_bias for i in range(0, len(x), 1024)] or [np.zeros(0)]
         )
+        return np.round(np.clip(z, -FAR, FAR).astype(np.float64) * GRID) / GRID
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) * self.scale + self.shift, -30, 30)))
@@ -230,24 +234,45 @@ def train(views: DataFrame, counts: dict[int, int], epochs: int = 12) -> Network
     return fitting.network()
 
 
-def calibrate(net: Network, x: np.ndarray, y: np.ndarray, recall: float) -> Network:
-    """Platt scaling on held-out rows, then the highest threshold that ``recall`` of the held-out
-    findings pass."""
-    z = net.logit(x)
+def calibrate(net: Network, views: DataFrame, recall: float) -> Network:
+    """Platt scaling on all held-out ``views`` (view, label), then the threshold that ``recall`` of
+    all held-out findings pass: of those with the same outcome on the held-out views, the middle
+    one, halfway from the last finding that has to pass to the next view below.
+
+    Logits lie on a grid, so the rows are counted by Spark per point of it and nothing is lost:
+    the driver holds the counts, however many rows there are.
+    """
+
+    def run(batches):
+        for batch in batches:
+            cells = np.round(net.logit(encode_views(batch.column(0).to_pylist())) * GRID).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), batch.column(1)], ["cell", "label"])
+
+    cells = views.select("view", "label").mapInArrow(run, "cell int, label int")
+    rows = cells.groupBy("cell", "label").agg(F.count("*").alias("n")).orderBy("cell", "label").collect()
+    z, y, n = (np.array([r[c] for r in rows], np.float64) for c in ("cell", "label", "n"))
+    z /= GRID
+    found, others = n[y == 1].sum(), n[y == 0].sum()
+    target = np.where(y == 1, (found + 1) / (found + 2), 1 / (others + 2))
+    loss = lambda a, b: (n * (np.logaddexp(0, a * z + b) - target * (a * z + b))).sum()
     a, b = 1.0, 0.0
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    for _ in range(50):  # Newton steps of a two-parameter logistic fit
+    for _ in range(50):  # Newton steps of a two-parameter logistic fit, halved until they gain
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - target) * z).sum(), (p - target).sum()])
+        w = n * (p * (1 - p) + 1e-6)
+        g = np.array([(n * (p - target) * z).sum(), (n * (p - target)).sum()])
         h = np.array([[(w * z * z).sum(), (w * z).sum()], [(w * z).sum(), w.sum()]]) + 1e-3 * np.eye(2)
         step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
+        while np.abs(step).max() >= 1e-6 and loss(a - step[0], b - step[1]) > loss(a, b):
+            step /= 2
         if np.abs(step).max() < 1e-6:
             break
+        a, b = a - step[0], b - step[1]
     net.scale, net.shift = float(max(a, 1e-3)), float(b)
-    passed = np.sort(net.probability(x[y == 1]))
-    net.threshold = float(passed[int((1 - recall) * len(passed))]) if len(passed) else 1.1
+    passed = np.cumsum(n[y == 1])
+    if len(passed):
+        last = z[y == 1][np.searchsorted(passed, int((1 - recall) * found), "right")]
+        below = z[z < last]
+        net.threshold = float((last + below.max()) / 2 if len(below) else last)
     return net
 
 
@@ -279,8 +304,7 @@ def fit(
     if min(counts.values()) < 5 or not found.get((True, 1)):
         return None
     net = train(seen.where(~held), counts)
-    rows = seen.where(held).orderBy("h", "view").select("view", "label").collect()
-    return calibrate(net, encode_views([r["view"] for r in rows]), np.array([r["label"] for r in rows], np.float64), recall)
+    return calibrate(net, seen.where(held), recall)
 
 
 _FOUND = T.ArrayType(
@@ -301,7 +325,7 @@ def scan(texts: list[str | None], net: Network | None) -> list[list[tuple[str, i
 
     def add():
         if views:
-            for i in np.flatnonzero(net.probability(encode_views(views)) >= net.threshold):
+            for i in np.flatnonzero(net.logit(encode_views(views)) >= net.threshold):
                 row, (a, b) = whose[i]
                 found[row].append(("model", a, b))
         views.clear()

@@ -434,6 +434,20 @@ def test_every_view_takes_part_in_training(spark):
     assert np.array_equal(net.kernel, again.kernel) and net.threshold == again.threshold
 
 
+def test_the_threshold_is_a_rank_among_all_held_out_findings(spark):
+    docs = findings_and_others(spark, 9000)
+    net = secret_scan.fit(docs)
+    views = [(v, a[0] == 4) for r in docs.collect() for a in secret_scan.candidates(r.text) for v in secret_scan.windows(r.text, a)]
+    hashed = spark.createDataFrame(views, "view string, found boolean").withColumn("h", F.xxhash64("view"))
+    held = hashed.where("pmod(h, 4) = 0").distinct().collect()
+    logits = net.logit(secret_scan.encode_views([r["view"] for r in held]))
+    found = np.array([r["found"] for r in held])
+    assert found.sum() > 2000
+    last = np.sort(logits[found])[int((1 - 0.99) * found.sum())]
+    assert net.threshold == (last + logits[logits < last].max()) / 2
+    assert np.isfinite([net.scale, net.shift]).all() and net.scale < 1000
+
+
 def test_base_spans_match_the_patterns(documents):
     for text in [*TRICKY, *(r.text for r in documents.collect())]:
         assert secret_scan.scan([text], None)[0] == brute_secrets(text or "")
