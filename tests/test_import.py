@@ -362,3 +362,19 @@ def test_a_stray_date_reads_its_month_alone(spark, monkeypatch):
     assert folders and {frozenset(f.split(",")) for f in folders} == {frozenset(["1970-01", "2026-06"])}
     got = spark.read.parquet(f"{base}/ledger")
     assert got.count() == 14 and got.where("transaction_date = '2026-06-05'").count() == 1
+
+
+def test_statement_and_ledger_are_parsed_and_shuffled_once(spark):
+    base = work_dir(spark, "import")
+    lines = [("1/6/2026", "-50", "Coles"), ("1/6/2026", "-50", "Coles"), ("x", "-9", "gym"), ("3/6/2026", "7", "gym")]
+    statement(spark, lines).write.parquet(f"{base}/lines")
+    spark.createDataFrame([("a", D("2026-06-03"), M(7), "gym"), ("a", D("2020-01-01"), M(7), "gym")], LEDGER).write.parquet(f"{base}/ledger")
+    raw, ledger = (spark.read.parquet(f"{base}/{t}") for t in ("lines", "ledger"))
+    done = plans.import_statement(raw, spark.createDataFrame(RULES, RULE), ledger, "b", inline_rules=True)
+    text = plan_text(done.summary)
+    assert text.count("Amount:string") == 1 and scans(done.summary, f"{base}/ledger") == 1 and "Join" not in text
+    assert plan_text(done.duplicates).count("Amount:string") == 2
+    for df in (done.summary, done.duplicates):  # the text is parsed in no filter
+        assert not re.search(r"(Filter|Join) [^\n]*gettimestamp", plan_text(df))
+    assert rows(done.summary) == [("a", 3, 0, 1, 2, 1)]
+    assert rows(done.duplicates, "source_line") == [(3,), (5,)]
