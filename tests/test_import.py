@@ -378,3 +378,14 @@ def test_statement_and_ledger_are_parsed_and_shuffled_once(spark):
         assert not re.search(r"(Filter|Join) [^\n]*gettimestamp", plan_text(df))
     assert rows(done.summary) == [("a", 3, 0, 1, 2, 1)]
     assert rows(done.duplicates, "source_line") == [(3,), (5,)]
+
+
+def test_rows_of_one_file_are_spread_over_tasks(spark, monkeypatch):
+    from coffer.streaming import statement_stream
+
+    base, seen = work_dir(spark, "spread"), []
+    original = statement_stream.import_statement
+    monkeypatch.setattr(statement_stream, "import_statement", lambda lines, *a: seen.append(plan_text(lines)) or original(lines, *a))
+    write_files(base, {"in/account_id=a/1.csv": HEADER + "".join(f"3/{m}/2026,-{m},gym {m},\n" for m in range(1, 13))})
+    import_stream(spark, f"{base}/in", f"{base}/ledger", f"{base}/checkpoint", spark.createDataFrame(RULES, RULE)).awaitTermination()
+    assert "RoundRobinPartitioning" in seen[0] and spark.read.parquet(f"{base}/ledger").count() == 12
