@@ -1,6 +1,7 @@
 """Hot keys: one ledger, day, text or group of copies holds most rows."""
 
 import random
+import sys
 from datetime import date, timedelta
 
 import pytest
@@ -169,3 +170,18 @@ def test_an_index_serves_other_texts_and_a_hot_gram_is_split(spark):
     got = match_rules(df.unionByName(odd), rules, "text", index=index).groupBy("category_id").count()
     assert rows(got) == [("k", 1), ("o", 1000), ("t", 2000), ("x", 1)]
     assert match_rules(odd.where("text is null"), rules, "text", index=index).count() == 0
+
+
+def test_few_keywords_are_filed_whole_and_match_alike(spark, monkeypatch):
+    from coffer.operators import categorise
+
+    module = sys.modules["coffer.operators.categorise"]
+    words = ["", "a", "red", "salmon pink", "almond antique", "N A", "é"]
+    rules = spark.createDataFrame([(w, w or "all", len(w)) for w in words], "keyword string, category_id string, priority int")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["Salmon Pink", "an antique", "xRedx", "É", "", "\n a", None, "almond antique red"])], "id int, text string")
+    index = keyword_index(rules, df, "text")
+    assert rows(index, "_keyword", "_gram") == sorted([(w.upper(), w.upper()) for w in words], key=repr)
+    whole = rows(categorise(df, rules, "text"), "id", "category_id")
+    monkeypatch.setattr(module, "_FEW", 0)
+    assert rows(categorise(df, rules, "text"), "id", "category_id") == whole
+    assert rows(categorise(df, rules, "text", inline=True), "id", "category_id") == whole
