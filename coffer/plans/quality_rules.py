@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coffer.functions import fixed_values as fv
@@ -193,14 +194,20 @@ def migration_preflight(
     keys = key_list(keys)
 
     def names(df: DataFrame, table: str, wanted: Sequence[str], only: bool) -> DataFrame:
+        # the names of a ledger are bits, as counting distinct ones would keep a row for each in memory
         named = F.col("name").isin(*wanted)
+        words = [wanted[i : i + 60] for i in range(0, len(wanted), 60)]
+        bit = lambda word: reduce(
+            lambda c, i: c.when(F.col("name") == word[i], 1 << i), range(1, len(word)), F.when(F.col("name") == word[0], 1)
+        )
         by_ledger = df.groupBy(*shared(keys, df)).agg(
             F.count_if(named).alias("rows"),
-            F.count_distinct(F.when(named, F.col("name"))).alias("names"),
             F.count_if(~F.coalesce(named, F.lit(False))).alias("others"),
+            *[F.bit_or(bit(word).cast("bigint")).alias(f"_word{i}") for i, word in enumerate(words)],
         )
         n = F.lit(len(wanted))
-        bad = (F.col("rows") != n) | (F.col("names") != n)
+        names = reduce(Column.__add__, [F.coalesce(F.bit_count(f"_word{i}"), F.lit(0)) for i in range(len(words))])
+        bad = (F.col("rows") != n) | (names != n)
         if only:
             bad = bad | (F.col("others") > 0)
         missing = F.when(F.count("*") == 0, 1).otherwise(F.count_if(bad))
@@ -211,9 +218,14 @@ def migration_preflight(
     group_types = groups.groupBy(*both, F.col("id").alias("expense_group_id")).agg(
         F.min("type").alias("group_type")
     )
-    typed = categories.select(*both, "expense_group_id", "type").join(
+    # equal rows are counted first, so that a ledger's many categories meet its groups as a few rows
+    typed = categories.groupBy(*both, "expense_group_id", "type").agg(F.count("*").alias("_rows")).join(
         group_types, [*both, "expense_group_id"]
     )
+    differ = {
+        name: F.coalesce(F.sum(F.when(bad, F.col("_rows"))), F.lit(0))
+        for name, bad in same_tests([("type", "group_type")]).items()
+    }
     of_group, group_id = (*both, "expense_group_id"), (*both, "id")
     return union_all(
         [
@@ -221,7 +233,7 @@ def migration_preflight(
             names(categories, "categories", needed, only=False),
             one_pass(categories, "categories", not_null_tests(["expense_group_id"])),
             check_relationship(categories, "categories", of_group, groups, group_id),
-            one_pass(typed, "categories", same_tests([("type", "group_type")])),
+            one_pass(typed, "categories", {}, differ),
             check_unique(monthly, "monthly_budgets", [*shared(keys, monthly), "category_id"]),
             check_unique(
                 group_monthly,

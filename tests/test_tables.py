@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,3 +292,17 @@ def test_a_cursor_reaches_the_scan(spark, dims, tmp_path):
     page = plans.list_transactions(spark.read.parquet(str(tmp_path / "t")), dims["categories"], dims["types"], after=(D("2025-06-01"), "t0"))
     assert rows(page, "id") == [("t1",)]
     assert "LessThanOrEqual(transaction_date,2025-06-01)" in page._jdf.queryExecution().executedPlan().toString()
+
+
+def test_migration_preflight_keeps_one_row_per_ledger_in_memory(spark):
+    from workload.queries import QUERIES
+
+    report = QUERIES["migration_preflight"](spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 200)
+    try:
+        plan = report._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "distinct" not in plan and "bit_or" in plan
+    # categories are counted before they meet their groups
+    assert all("name#" not in keys for keys in re.findall(r"Aggregate \[([^\]]*)\]", plan))
