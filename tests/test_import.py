@@ -9,7 +9,7 @@ from coffer import plans
 from coffer.operators import categorise, dedup_new, keyword_index, match_rules
 from coffer.session import work_dir
 from coffer.sources import expand_breakdown, parse_statement, read_statement, unpivot_sheet
-from coffer.sources.statements import SOURCE_ORDER
+from coffer.sources.statements import SOURCE_ORDER, typed_statement
 from coffer.streaming import import_stream
 from conftest import D, M, rows
 
@@ -389,3 +389,40 @@ def test_rows_of_one_file_are_spread_over_tasks(spark, monkeypatch):
     write_files(base, {"in/account_id=a/1.csv": HEADER + "".join(f"3/{m}/2026,-{m},gym {m},\n" for m in range(1, 13))})
     import_stream(spark, f"{base}/in", f"{base}/ledger", f"{base}/checkpoint", spark.createDataFrame(RULES, RULE)).awaitTermination()
     assert "RoundRobinPartitioning" in seen[0] and spark.read.parquet(f"{base}/ledger").count() == 12
+
+
+def test_a_batch_is_parsed_once_and_meets_its_own_ledgers(spark, monkeypatch):
+    from coffer.streaming import statement_stream
+
+    base, seen = work_dir(spark, "own"), []
+    original = statement_stream.import_statement
+
+    def watched(lines, rules, known, *args):
+        seen.append((set(lines.columns), plan_text(lines), rows(known, "account_id")))
+        return original(lines, rules, known, *args)
+
+    monkeypatch.setattr(statement_stream, "import_statement", watched)
+    ledger = spark.createDataFrame([(a, D("2026-03-01"), M(1), "gym 1") for a in ("a", "b", "b", None)], LEDGER)
+    lines = "3/3/2026,-3,gym 3,\n1/3/2026,-1,gym 1,\n1/3/2026,-1,gym 1,\nx,-1,gym 1,\n"
+    write_files(base, {f"in/account_id={a}/1.csv": HEADER + lines for a in ("a", "c")})
+    rules = spark.createDataFrame(RULES, RULE)
+    for few in (1000, 1):
+        monkeypatch.setattr(statement_stream, "_FEW", few)
+        run = f"{base}/{few}"
+        import_stream(spark, f"{base}/in", f"{run}/ledger", f"{run}/checkpoint", rules, ledger).awaitTermination()
+        assert rows(spark.read.parquet(f"{run}/ledger"), "account_id", "raw_description") == [("a", "gym 3"), ("c", "gym 1"), ("c", "gym 3")]
+        found = lambda name: rows(spark.read.parquet(f"{run}/ledger-reports/{name}"), "account_id", "source_line")
+        assert [len(found(n)) for n in ("duplicates", "review", "rejects")] == [3, 0, 2]
+        assert rows(spark.read.parquet(f"{run}/ledger-reports/summary").drop("import_batch_id")) == [("a", 3, 0, 1, 2, 1), ("c", 3, 0, 2, 1, 1)]
+    assert all("transaction_date" in columns and "Date" not in columns for columns, _, _ in seen)
+    assert all("RoundRobinPartitioning" in text for _, text, _ in seen)
+    assert [known for _, _, known in seen] == [[("a",)], [("a",), ("b",), ("b",), (None,)]]
+
+
+def test_typed_lines_import_like_their_text(spark):
+    lines = [("1/6/2026", "-50", "Coles"), ("1/6/2026", "-50", "Coles"), ("x", "-9", "gym"), ("3/6/2026", "7", "gym"), ("3/6/2026", "0", "gym"), ("4/6/2026", "-7", "?")]
+    raw = statement(spark, lines)
+    ledger = spark.createDataFrame([("a", D("2026-06-03"), M(7), "gym")], LEDGER)
+    of = lambda given: plans.import_statement(given, spark.createDataFrame(RULES, RULE), ledger, "b")
+    for text, typed in zip(of(raw), of(typed_statement(raw))):
+        assert rows(text) == rows(typed) and rows(text)
